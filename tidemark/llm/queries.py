@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, token_store
+from . import decontaminate, jaccard_join, language_id, mixing, quality, token_store, toxicity
+from .common import fold
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,6 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _classified(scored: DataFrame, cut: float) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def _to_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _classified(quality.score(docs, quality.fit(docs, _to_learn(spark, sf_dir))), 0.3)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
+    return language_id.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _classified(toxicity.score(docs, toxicity.fit(docs, _to_learn(spark, sf_dir))), 0.5)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,6 +65,9 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
