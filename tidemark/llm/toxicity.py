@@ -19,8 +19,10 @@ _hashes = WordHashes()
 
 
 def terms(text: bytes, bits: int) -> np.ndarray:
-    """Hashed distinct words of the text, lower-cased where they are ASCII."""
-    return np.unique(_hashes.of(words(text)) & U64((1 << bits) - 1)).astype(np.int64)
+    """Hashed distinct words, lower-cased where they are ASCII, and hashed beginnings of 4 and 5 bytes of longer words."""
+    own = set(words(text))
+    begin = {w[:4] + b"-" for w in own if len(w) > 4} | {w[:5] + b"-" for w in own if len(w) > 5}
+    return np.unique(_hashes.of([*own, *begin]) & U64((1 << bits) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -62,7 +64,7 @@ def train(x: np.ndarray, y: np.ndarray, rank: int, steps: int, rate: float, pena
     return float(params[0][0]), params[1], params[2]
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class: int = 4000, bits: int = 22, n_terms: int = 1024, rank: int = 8, steps: int = 1500, rate: float = 0.02, penalty: float = 1e-4, seed: int = 3) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class: int = 4000, bits: int = 22, n_terms: int = 256, rank: int = 8, steps: int = 1500, rate: float = 0.02, penalty: float = 1e-4, seed: int = 3) -> Machine:
     """Learn from about per_class documents of each label (the bound of the sample) and their n_terms most telling terms.
 
     Terms are counted over the sample in Spark; telling is the chi-square of term and label. Without documents of both
