@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, mixing, quality, token_store, toxicity
+from . import decontaminate, html_extract, jaccard_join, language_id, mixing, quality, quality_rules, token_store, toxicity, url_filter
 from .common import fold
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,13 +64,29 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.RULES, url_filter.LISTED)).drop("listed")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
+    "op6_html_extraction": op6_html_extraction,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
