@@ -104,16 +104,63 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of runs of `width` words; of the whole run where there are fewer; empty without words."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = hashes.of(words)
-    n = max(1, len(h) - width + 1)
-    total = np.full(n, U64(min(width, len(h))), dtype=np.uint64)
-    for j in range(min(width, len(h))):
-        total = mixed(total * U64(_ODD) + h[j : j + n])
-    return np.unique(total)
+class _Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as far as asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _ODD, dtype=np.uint64)]), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), dtype=np.uint64)]), dtype=np.uint64)
+        return self.up, self.down
+
+
+_powers = _Powers()
+_BYTE = mixed(np.frombuffer(_LOWER, np.uint8).astype(np.uint64) + U64(0x51_7C_C1_B7_27_22_0A_95))  # A-Z count as a-z
+
+
+def shingle_sets(texts: list[bytes], width: int = 5, at_once: int = 1 << 20) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of runs of `width` words, A-Z lower-cased.
+
+    Of fewer words the whole sequence is one run; a text without words has an empty set. Words are hashed as
+    polynomials over their bytes, all of about at_once bytes of texts together.
+    """
+    out: list[np.ndarray] = []
+    k = 0
+    while k < len(texts):
+        some, size = [], 0
+        while k < len(texts) and (not some or size + len(texts[k]) < at_once):
+            some.append(texts[k])
+            size += len(texts[k]) + 1
+            k += 1
+        raw = np.frombuffer(b" ".join(some) + b" ", np.uint8)
+        up, down = _powers.to(len(raw))
+        sums = np.empty(len(raw) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64, out=sums[1:])
+        inside = ~_SPACE[raw]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edges = np.concatenate([[0], edges])
+        starts, ends = edges[::2], edges[1::2]
+        h = mixed((sums[ends] - sums[starts]) * down[starts])
+        begins = np.cumsum([0, *(len(x) + 1 for x in some)])
+        first = np.searchsorted(starts, begins)  # of each text, among all words
+        n = len(h) - width + 1
+        runs = np.zeros(max(0, n), dtype=np.uint64)
+        for j in range(width if n > 0 else 0):
+            runs = mixed(runs * U64(_ODD) + h[j : j + n])
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            if hi - lo >= width:
+                out.append(np.unique(runs[lo : hi - width + 1]))
+            else:
+                whole = np.zeros(1, dtype=np.uint64)
+                for x in h[lo:hi]:
+                    whole = mixed(whole * U64(_ODD) + x)
+                out.append(mixed(whole + U64(hi - lo)) if hi > lo else whole[:0])
+    return out
 
 
 def bound_check(n: int, most: int, what: str) -> None:

@@ -6,9 +6,10 @@ come last (that moves work, never results). So a tile is what holds one such mem
 sizes differ too much. A pair met in a tile is dropped where bitmaps bound its overlap from above too low; the rest
 is decided on the sorted arrays.
 
-A group of n near copies has n^2 / 2 links, yet needs n - 1 to be one component. So tiles are worked twice: first each
-document against the leader of its band; then, where documents of different components still meet in a tile, all of
-those pairs. Pairs within one component are never made, and no link between components is lost.
+A group of n near copies has n^2 / 2 links, yet needs n - 1 to be one component. So documents are first put with the
+leaders they meet in tiles, at most two, and each such group is joined on its whole texts, once for each document: by
+bitmap bounds, then on the arrays, and only where two are not in one component yet. Then, where documents of different
+components and groups still meet in a tile, all of those pairs are decided. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, lower_words, mixed, shingle_set, slices, stored
+from .common import U64, mixed, shingle_sets, slices, stored, unit_hash
 from .components import connected_components
 
 SETS = "doc_id long, n long, h1 long, h2 long, bits binary, prefix binary"
 PACKED = "bucket long, members binary, at binary, docs binary, sizes binary"
 TILES = "member long, doc long, size long"
+MET = "doc_id long, group long, leader long"
 PAIRS = "a long, b long"
-_hashes = WordHashes()
 
 
 def least_overlap(na, nb, percent: int):
@@ -36,9 +37,9 @@ def least_overlap(na, nb, percent: int):
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """A bit for each member's hash; the width is a power of two, 2 to 4 times the size, at least 64."""
+    """A bit for each member's hash; the width is a power of two, 4 to 8 times the size, at least 64."""
     width = 64
-    while width < 2 * len(members):
+    while width < 4 * len(members):
         width *= 2
     bits = np.zeros(width, dtype=np.uint8)
     bits[((members >> U64(7)) & U64(width - 1)).astype(np.int64)] = 1
@@ -55,15 +56,15 @@ def most_overlap(na: int, a: bytes, nb: int, b: bytes) -> int:
     return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
 
-def frequent_members(docs: DataFrame, width: int, sample_docs: int, least: int, most: int) -> np.ndarray:
-    """Members that at least `least` of sample_docs documents (those with the least hash) hold, at most `most` of them."""
+def frequent_members(docs: DataFrame, width: int, share: float, least: int, most: int) -> np.ndarray:
+    """Members that at least `least` documents of a share of all (those with the least hash) hold, at most `most` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
-            for x in texts:
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(lower_words(x), _hashes, width).view(np.int64))], ["member"])
+            sets = shingle_sets(texts, width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))], ["member"])
 
-    sample = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(sample_docs).select("text").distinct()
+    sample = docs.where(unit_hash(17, F.col("doc_id")) < share).select("text").distinct()
     seen = sample.mapInArrow(run, "member long").groupBy("member").count().where(F.col("count") >= least)
     return np.sort(np.array([r.member for r in seen.orderBy(F.desc("count"), "member").limit(most).collect()], dtype=np.int64).view(np.uint64))
 
@@ -74,8 +75,7 @@ def sets_of(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches):
             rows = []
-            for x in texts:
-                s = shingle_set(lower_words(x), _hashes, width)
+            for s in shingle_sets(texts, width):
                 n = len(s)
                 whole = int(np.add.reduce(s * U64(0xD6E8FEB86659FD93))) if n else 0
                 other = int(np.bitwise_xor.reduce((s ^ (s >> U64(29))) * U64(0xA0761D6478BD642F))) if n else 0
@@ -146,13 +146,78 @@ def tiles_of(sets: DataFrame, percent: int, frequent: np.ndarray, per_bucket: in
     return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tiles, TILES)
 
 
-def leader_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Each document of a tile with the leader of its size band there, of which it meets most often and the least one."""
+def groups_of(tiles: DataFrame, percent: int, most: int = 1024) -> DataFrame:
+    """Rows (doc_id, group, leader): the leaders of its size band that a document meets most often, and the least one.
+
+    Leaders are in their groups. Those of one leader are cut into groups of about `most` by a hash.
+    """
     banded = tiles.withColumn("band", F.floor(F.log("size") / F.log(F.lit(100.0 / percent))))
     lead = banded.groupBy("member", "band").agg(F.min(F.struct("size", "doc")).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
     met = banded.join(lead.select("member", "band", F.col("lead.doc").alias("leader")), ["member", "band"]).where("doc <> leader").groupBy("leader", "doc").count()
     best = met.groupBy("doc").agg(F.max(F.struct("count", "leader")).alias("most"), F.min("leader").alias("least"))
-    return best.select(F.explode(F.array_distinct(F.array("most.leader", "least"))).alias("leader"), "doc").select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
+    pairs = best.select(F.explode(F.array_distinct(F.array("most.leader", "least"))).alias("leader"), F.col("doc").alias("doc_id"))
+    pairs = stored(pairs, "met")
+    cuts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / most).alias("cuts"))
+    own = pairs.join(cuts, "leader").select("doc_id", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), "cuts")).alias("group"), "leader")
+    return stored(own.union(own.select(F.col("leader").alias("doc_id"), "group", "leader").distinct()), "groups")
+
+
+def group_links(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within groups, enough to join all that are linked there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for piece, raw in slices(batches):
+            for group, doc, leader, s in zip(piece.column("group").to_pylist(), piece.column("doc_id").to_pylist(), piece.column("leader").to_pylist(), shingle_sets(raw, width), strict=True):
+                if held and group != last:
+                    yield _joined(held, percent)
+                    held = []
+                last = group
+                held.append((doc != leader, doc, s))
+        if held:
+            yield _joined(held, percent)
+
+    return _with_texts(groups, docs).repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, PAIRS)
+
+
+def _joined(held: list[tuple[bool, int, np.ndarray]], percent: int) -> pa.RecordBatch:
+    """Links of one group: each document against those of other components, the leader first."""
+    held.sort(key=lambda x: x[:2])
+    ids, sets = [x[1] for x in held], [x[2] for x in held]
+    sizes = np.array([len(s) for s in sets])
+    width = 64
+    while width < 4 * max(sizes):
+        width *= 2
+    bits = np.zeros((len(sets), width // 64), dtype=np.uint64)
+    for k, s in enumerate(sets):
+        at = (s >> U64(7)) & U64(width - 1)
+        np.bitwise_or.at(bits[k], (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+    component = np.arange(len(sets))
+    a, b = [], []
+    for k in range(len(sets) - 1):
+        rest = np.arange(k + 1, len(sets))
+        rest = rest[(component[rest] != component[k]) & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k]))]
+        for lo in range(0, len(rest), 512):
+            some = rest[lo : lo + 512]
+            alone = np.bitwise_count(bits[k] & ~bits[some]).sum(axis=1, dtype=np.int64)
+            other = np.bitwise_count(bits[some] & ~bits[k]).sum(axis=1, dtype=np.int64)
+            need = least_overlap(sizes[k], sizes[some], percent)
+            for j in some[np.minimum(sizes[k] - alone, sizes[some] - other) >= need]:
+                if component[j] != component[k] and len(np.intersect1d(sets[k], sets[j], assume_unique=True)) >= least_overlap(sizes[k], sizes[j], percent):
+                    component[component == component[j]] = component[k]
+                    a.append(ids[k])
+                    b.append(ids[j])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _with_texts(wanted: DataFrame, docs: DataFrame, max_sent: int = 1_000_000) -> DataFrame:
+    """wanted, which has doc_id, with each document's text.
+
+    Few documents are in question, as a rule: then their ids are sent to the texts, beyond max_sent the texts are shuffled.
+    """
+    ids = stored(wanted.select("doc_id").distinct(), "wanted")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= max_sent else ids, "doc_id", "left_semi")
+    return wanted.join(texts, "doc_id")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -176,8 +241,8 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]
         yield [np.concatenate(x) for x in zip(*held, strict=True)][len(keys) :]
 
 
-def cross_pairs(tiles: DataFrame, components: DataFrame, percent: int, block: int = 4096) -> DataFrame:
-    """The pairs of a tile that may link by size and are in different components.
+def cross_pairs(tiles: DataFrame, components: DataFrame, groups: DataFrame, percent: int, block: int = 4096) -> DataFrame:
+    """The pairs of a tile that may link by size, are in different components and in no group together.
 
     A tile of more than `block` documents is cut into blocks, and each two blocks are a tile of their own.
     """
@@ -190,11 +255,12 @@ def cross_pairs(tiles: DataFrame, components: DataFrame, percent: int, block: in
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-        for size, doc, comp, own, one in _runs(batches, ["member", "low", "high"], ["size", "doc", "comp", "own", "one"]):
+        for size, doc, comp, own, one, g, other_g in _runs(batches, ["member", "low", "high"], ["size", "doc", "comp", "own", "one", "g1", "g2"]):
             until = np.searchsorted(size, 100 * size // percent, side="right")
             for k in range(len(doc) - 1):
                 span = slice(k + 1, int(until[k]))
-                other = np.flatnonzero((comp[span] != comp[k]) & ((own[span] != own[k]) | one[k])) + k + 1
+                apart = (g[span] != g[k]) & (g[span] != other_g[k]) & (other_g[span] != g[k]) & (other_g[span] != other_g[k])
+                other = np.flatnonzero((comp[span] != comp[k]) & apart & ((own[span] != own[k]) | one[k])) + k + 1
                 if len(other):
                     a.append(np.full(len(other), doc[k]))
                     b.append(doc[other])
@@ -205,11 +271,15 @@ def cross_pairs(tiles: DataFrame, components: DataFrame, percent: int, block: in
         if n:
             yield pairs()
 
-    own = tiles.join(components.select(F.col("node").alias("doc"), "component"), "doc", "left").select("member", "size", "doc", F.coalesce("component", "doc").alias("comp"))
+    # a leader may be in more groups than two: pairs within those that are not told here are made again
+    near = groups.groupBy(F.col("doc_id").alias("doc")).agg(F.min("group").alias("g1"), F.max("group").alias("g2"))
+    known = near.join(components.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    # who meets no leader, having neighbours in other bands alone, is a group and a component of its own
+    own = tiles.join(known, "doc", "left").select("member", "size", "doc", F.coalesce("component", "doc").alias("comp"), *(F.coalesce(g, F.xxhash64(F.lit(1), "doc")).alias(g) for g in ("g1", "g2")))
     count = own.groupBy("member").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.ceil(F.count("*") / block).alias("blocks")).where("first < last")
     cut = own.join(count.select("member", "blocks"), "member").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select("member", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "size", "doc", "comp", "own").withColumn("one", F.col("low") == F.col("high"))
+    cut = cut.select("member", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "size", "doc", "comp", "own", "g1", "g2").withColumn("one", F.col("low") == F.col("high"))
     return cut.repartition("member", "low", "high").sortWithinPartitions("member", "low", "high", "size", "doc").mapInArrow(run, PAIRS).distinct()
 
 
@@ -226,7 +296,7 @@ def bounded_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, PAIRS)
 
 
-def linked_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int, members: int = 64, max_sent: int = 1_000_000) -> DataFrame:
+def linked_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int, members: int = 64) -> DataFrame:
     """The pairs that link, by intersection of the sorted arrays of their whole texts.
 
     The pairs of one document are cut into groups of about `members`, so that its text is read once for each group
@@ -236,17 +306,13 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int, me
     count = pairs.groupBy("a").agg(F.count("*").alias("n_pairs"))
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n_pairs") / members)).alias("k"))
     wanted = dealt.select("a", "k", F.col("b").alias("doc_id")).union(dealt.select("a", "k", F.col("a").alias("doc_id")).distinct())
-    ids = stored(wanted.select("doc_id").distinct(), "wanted")
-    # few documents are in such pairs, as a rule: then their ids are sent to the texts, else the texts are shuffled
-    texts = docs.join(F.broadcast(ids) if ids.count() <= max_sent else ids, "doc_id", "left_semi")
-    texts = wanted.join(texts, "doc_id").select("a", "k", (F.col("doc_id") != F.col("a")).alias("second"), "doc_id", "text")
+    texts = _with_texts(wanted, docs).select("a", "k", (F.col("doc_id") != F.col("a")).alias("second"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, own = None, np.empty(0, np.uint64)
         for piece, raw in slices(batches):
             a, b = [], []
-            for x, second, doc, text in zip(piece.column("a").to_pylist(), piece.column("second").to_pylist(), piece.column("doc_id").to_pylist(), raw, strict=True):
-                s = shingle_set(lower_words(text), _hashes, width)
+            for x, second, doc, s in zip(piece.column("a").to_pylist(), piece.column("second").to_pylist(), piece.column("doc_id").to_pylist(), shingle_sets(raw, width), strict=True):
                 if not second:
                     first, own = x, s
                     continue
@@ -259,7 +325,7 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int, me
     return texts.repartition("a", "k").sortWithinPartitions("a", "k", "second").mapInArrow(run, PAIRS)
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, sample_docs: int = 2000, frequent_in: int = 4, max_frequent: int = 50_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, sample_share: float = 0.05, frequent_in: int = 3, max_frequent: int = 200_000) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, class_id, component_id.
 
     A set has the distinct `width`-word shingles of the text, A-Z lower-cased; with fewer words the whole sequence is
@@ -269,7 +335,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, sa
     one document; doc_id is not null and has one text. An empty table gives no rows. Other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_members(docs, width, sample_docs, frequent_in, max_frequent)
+    frequent = frequent_members(docs, width, sample_share, frequent_in, max_frequent)
     sets = stored(sets_of(docs, width, percent, frequent), "sets")
     key = ["n", "h1", "h2"]
     classes = stored(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "classes")
@@ -277,9 +343,10 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, sa
     own = sets.where("n > 0").join(copies, key, "left").where("class_id is null or class_id = doc_id").select("doc_id", "n", "prefix")
     tiles = stored(tiles_of(own, percent, frequent), "tiles")
     bits = sets.select("doc_id", "n", "bits").where("n > 0")
-    near = stored(linked_pairs(bounded_pairs(leader_pairs(tiles, percent), bits, percent), docs, width, percent), "near")
-    rough = connected_components(near)
-    more = linked_pairs(bounded_pairs(cross_pairs(tiles, rough, percent), bits, percent), docs, width, percent)
+    groups = groups_of(tiles, percent)
+    near = stored(group_links(groups, docs, width, percent), "near")
+    more = cross_pairs(tiles, connected_components(near), groups, percent)
+    more = linked_pairs(bounded_pairs(more, bits, percent), docs, width, percent)
     links = stored(near.unionByName(more), "links")
     found = connected_components(links)
     per_class = classes.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
