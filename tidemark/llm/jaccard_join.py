@@ -1,7 +1,8 @@
 """N-gram Jaccard self join, exact: size-banded tiles, bitmap bounds, then intersection of sorted arrays.
 
 Two sets of which one holds t of their union share one of the first n - ceil(t n) + 1 members of each in any one order
-of all members. Members are 64-bit hashes; their order is by hash, save that those frequent in a sample of documents
+of all members; and where that is the first one shared, the smaller set has it so early that enough can follow, among
+its first n - ceil(2 t n / (1 + t)) + 1. Members are 64-bit hashes; their order is by hash, save that those frequent in a sample of documents
 come last (that moves work, never results). So a tile is what holds one such member, sorted by size and cut where
 sizes differ too much. A pair met in a tile is dropped where bitmaps bound its overlap from above too low; the rest
 is decided on the sorted arrays.
@@ -25,8 +26,8 @@ from .common import U64, mixed, shingle_sets, slices, stored, unit_hash
 from .components import connected_components
 
 SETS = "doc_id long, n long, h1 long, h2 long, bits binary, prefix binary"
-PACKED = "bucket long, members binary, at binary, docs binary, sizes binary"
-TILES = "member long, doc long, size long"
+PACKED = "bucket long, members binary, at binary, early binary, docs binary, sizes binary"
+TILES = "member long, doc long, size long, early boolean"
 MET = "doc_id long, group long, leader long"
 PAIRS = "a long, b long"
 
@@ -95,7 +96,7 @@ def sets_of(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
 
 
 def tiles_of(sets: DataFrame, percent: int, frequent: np.ndarray, per_bucket: int = 1_000_000) -> DataFrame:
-    """Rows (member, doc, size) of the members in the prefixes of two documents or more of sizes that may link.
+    """Rows (member, doc, size, early) of the members in the prefixes of two documents or more of sizes that may link.
 
     Prefixes go to the buckets of their members' hashes in packed arrays, not as rows of their own. Members frequent in
     the sample go to buckets of their documents' hashes and all come out, so that no bucket gathers a hot member.
@@ -111,7 +112,10 @@ def tiles_of(sets: DataFrame, percent: int, frequent: np.ndarray, per_bucket: in
             if not arrays:
                 continue
             members = np.concatenate(arrays)
-            at = np.repeat(np.arange(len(arrays), dtype=np.uint32), [len(x) for x in arrays])
+            lengths = np.array([len(x) for x in arrays])
+            at = np.repeat(np.arange(len(arrays), dtype=np.uint32), lengths)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            early = place <= (sizes - -(-2 * percent * sizes // (100 + percent)))[at]
             bucket = (members % U64(buckets)).astype(np.int64)
             if len(frequent):
                 hot = frequent[np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)] == members
@@ -122,40 +126,47 @@ def tiles_of(sets: DataFrame, percent: int, frequent: np.ndarray, per_bucket: in
             for b, lo, hi in zip(found, first, [*first[1:], len(order)], strict=True):
                 own = order[lo:hi]
                 used, back = np.unique(at[own], return_inverse=True)
-                out.append((int(b), members[own].tobytes(), back.astype(np.uint32).tobytes(), docs[used].tobytes(), sizes[used].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 5))], ["bucket", "members", "at", "docs", "sizes"])
+                out.append((int(b), members[own].tobytes(), back.astype(np.uint32).tobytes(), np.packbits(early[own]).tobytes(), docs[used].tobytes(), sizes[used].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 6))], ["bucket", "members", "at", "early", "docs", "sizes"])
 
     def tiles(rows: pa.Table) -> pa.Table:
-        members, docs, sizes = [], [], []
-        for r in rows.select(["members", "at", "docs", "sizes"]).to_pylist():
+        members, docs, sizes, early = [], [], [], []
+        for r in rows.select(["members", "at", "early", "docs", "sizes"]).to_pylist():
             at = np.frombuffer(r["at"], np.uint32)
             members.append(np.frombuffer(r["members"], np.uint64))
             docs.append(np.frombuffer(r["docs"], np.int64)[at])
             sizes.append(np.frombuffer(r["sizes"], np.int64)[at])
-        m, d, s = np.concatenate(members), np.concatenate(docs), np.concatenate(sizes)
+            early.append(np.unpackbits(np.frombuffer(r["early"], np.uint8), count=len(at)).astype(bool))
+        m, d, s, e = np.concatenate(members), np.concatenate(docs), np.concatenate(sizes), np.concatenate(early)
         if rows.column("bucket")[0].as_py() >= 0:
             order = np.lexsort((d, s, m))
-            m, d, s = m[order], d[order], s[order]
+            m, d, s, e = m[order], d[order], s[order], e[order]
             # sorted by size among a member's, a document whose neighbours are too far off in size links with none there
             near = (m[1:] == m[:-1]) & (100 * s[:-1] >= percent * s[1:])
             keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
-            m, d, s = m[keep], d[keep], s[keep]
-        return pa.table({"member": m.view(np.int64), "doc": d, "size": s})
+            _, back = np.unique(m, return_inverse=True)
+            keep &= (np.bincount(back, e) > 0)[back]
+            m, d, s, e = m[keep], d[keep], s[keep], e[keep]
+        return pa.table({"member": m.view(np.int64), "doc": d, "size": s, "early": e})
 
     packed = sets.select(F.col("doc_id").alias("doc"), "n", "prefix").mapInArrow(pack, PACKED)
     return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tiles, TILES)
 
 
-def groups_of(tiles: DataFrame, percent: int, most: int = 1024) -> DataFrame:
-    """Rows (doc_id, group, leader): the leaders of its size band that a document meets most often, and the least one.
+def groups_of(tiles: DataFrame, percent: int, most: int = 2048) -> DataFrame:
+    """Rows (doc_id, group, leader): the leader that a document meets most often in its own size band, and the one below.
 
-    Leaders are in their groups. Those of one leader are cut into groups of about `most` by a hash.
+    A band's leader in a tile is its first document by size and id. As those of the next band that are not too long for
+    it come to its group as well, documents on both sides of a border meet. Leaders are in their groups; those of one
+    leader are cut into groups of about `most` by a hash.
     """
-    banded = tiles.withColumn("band", F.floor(F.log("size") / F.log(F.lit(100.0 / percent))))
-    lead = banded.groupBy("member", "band").agg(F.min(F.struct("size", "doc")).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
-    met = banded.join(lead.select("member", "band", F.col("lead.doc").alias("leader")), ["member", "band"]).where("doc <> leader").groupBy("leader", "doc").count()
-    best = met.groupBy("doc").agg(F.max(F.struct("count", "leader")).alias("most"), F.min("leader").alias("least"))
-    pairs = best.select(F.explode(F.array_distinct(F.array("most.leader", "least"))).alias("leader"), F.col("doc").alias("doc_id"))
+    band = F.floor(F.log("size") / F.log(F.lit(100.0 / percent)))
+    lead = tiles.where("early").groupBy("member", band.alias("band")).agg(F.min(F.struct("size", "doc")).alias("lead"))
+    visits = tiles.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band - F.col("below"))
+    met = visits.join(lead, ["member", "band"]).where("doc <> lead.doc").where(F.lit(percent) * F.col("size") <= 100 * F.col("lead.size"))
+    met = met.groupBy("doc", F.col("lead.doc").alias("leader"), "below").count()
+    best = met.groupBy("doc").agg(*(F.max(F.when(F.col("below") == k, F.struct("count", "leader"))).alias(f"best{k}") for k in (0, 1)))
+    pairs = best.select(F.explode(F.array_compact(F.array_distinct(F.array("best0.leader", "best1.leader")))).alias("leader"), F.col("doc").alias("doc_id"))
     pairs = stored(pairs, "met")
     cuts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / most).alias("cuts"))
     own = pairs.join(cuts, "leader").select("doc_id", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), "cuts")).alias("group"), "leader")
@@ -255,9 +266,9 @@ def cross_pairs(tiles: DataFrame, components: DataFrame, groups: DataFrame, perc
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-        for size, doc, comp, own, one, g, other_g in _runs(batches, ["member", "low", "high"], ["size", "doc", "comp", "own", "one", "g1", "g2"]):
+        for size, doc, comp, own, one, g, other_g, early in _runs(batches, ["member", "low", "high"], ["size", "doc", "comp", "own", "one", "g1", "g2", "early"]):
             until = np.searchsorted(size, 100 * size // percent, side="right")
-            for k in range(len(doc) - 1):
+            for k in np.flatnonzero(early[:-1]):  # the smaller of two is the earlier by size and id
                 span = slice(k + 1, int(until[k]))
                 apart = (g[span] != g[k]) & (g[span] != other_g[k]) & (other_g[span] != g[k]) & (other_g[span] != other_g[k])
                 other = np.flatnonzero((comp[span] != comp[k]) & apart & ((own[span] != own[k]) | one[k])) + k + 1
@@ -275,11 +286,11 @@ def cross_pairs(tiles: DataFrame, components: DataFrame, groups: DataFrame, perc
     near = groups.groupBy(F.col("doc_id").alias("doc")).agg(F.min("group").alias("g1"), F.max("group").alias("g2"))
     known = near.join(components.select(F.col("node").alias("doc"), "component"), "doc", "left")
     # who meets no leader, having neighbours in other bands alone, is a group and a component of its own
-    own = tiles.join(known, "doc", "left").select("member", "size", "doc", F.coalesce("component", "doc").alias("comp"), *(F.coalesce(g, F.xxhash64(F.lit(1), "doc")).alias(g) for g in ("g1", "g2")))
+    own = tiles.join(known, "doc", "left").select("member", "size", "doc", "early", F.coalesce("component", "doc").alias("comp"), *(F.coalesce(g, F.xxhash64(F.lit(1), "doc")).alias(g) for g in ("g1", "g2")))
     count = own.groupBy("member").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.ceil(F.count("*") / block).alias("blocks")).where("first < last")
     cut = own.join(count.select("member", "blocks"), "member").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select("member", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "size", "doc", "comp", "own", "g1", "g2").withColumn("one", F.col("low") == F.col("high"))
+    cut = cut.select("member", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "size", "doc", "comp", "own", "g1", "g2", "early").withColumn("one", F.col("low") == F.col("high"))
     return cut.repartition("member", "low", "high").sortWithinPartitions("member", "low", "high", "size", "doc").mapInArrow(run, PAIRS).distinct()
 
 
