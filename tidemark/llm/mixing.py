@@ -52,13 +52,14 @@ def targets(sizes: Sequence[int], weights: Sequence[int], share: Fraction, most:
     return out
 
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, block_tokens: int = 32, shard_rows: int = 512, max_shards: int = 20_000, max_sources: int = 1_000_000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, most_block: int = 32, shard_rows: int = 512, max_shards: int = 20_000, max_sources: int = 1_000_000, seed: int = 7) -> DataFrame:
     """Per row of docs(doc_id, text, source): size (words), source_size, target (its source's), taken (words the mix takes).
 
     Sources in order of their code points, null last, weigh `weights`, repeated. Each source is dealt over shards by a
     hash of doc_id, so a source with most of the rows is many shards; a shard's documents, in an order fixed by the
-    seed, form a row of words cut into blocks of block_tokens. Quotas of blocks go to sources by their targets and to
-    a source's shards by their words, by Sainte-Lague. In a shard with n blocks and a quota q each block is taken
+    seed, form a row of words cut into blocks of most_block words, or fewer where the smallest source would else have
+    less than 256 of them. Quotas of blocks go to sources by their targets and to a source's shards by their words, by
+    Sainte-Lague. In a shard with n blocks and a quota q each block is taken
     q // n times, and q mod n blocks once more: those at equal steps from a seeded start. So a block is taken at most
     `most` times, and only one row per shard (max_shards and the number of sources bound them) is on the driver.
 
@@ -76,15 +77,16 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: Fraction
     dealt = sized.join(src.withColumnRenamed("source", "s"), sized.source.eqNullSafe(F.col("s"))).drop("s", "source")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")))
 
+    block = max(1, min([most_block, *(r.size // 256 for r in found if r.size)]))
     shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("size")).collect()  # at most max_shards and one for each source
     shards.sort(key=lambda r: (r.src, r.shard))
-    blocks = [-(-r.size // block_tokens) for r in shards]
+    blocks = [-(-r.size // block) for r in shards]
     room = [0] * len(found)
     by_source: dict[int, list[int]] = {}
     for k, r in enumerate(shards):
         room[r.src] += most * blocks[k]
         by_source.setdefault(r.src, []).append(k)
-    won = sainte_lague([float(x) for x in goal], round(sum(goal) / block_tokens), room)
+    won = sainte_lague([float(x) for x in goal], round(sum(goal) / block), room)
     quotas = []
     for i, ks in by_source.items():
         for k, q in zip(ks, sainte_lague([float(shards[k].size) for k in ks], won[i], [most * blocks[k] for k in ks]), strict=True):
@@ -92,14 +94,14 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: Fraction
             quotas.append((shards[k].src, shards[k].shard, q // n, q % n, n))
     quota = spark.createDataFrame(quotas, "src int, shard long, whole long, rest long, n_blocks long")
 
-    order = Window.partitionBy("src", "shard").orderBy(unit_hash(seed + 1, F.col("doc_id")), "doc_id", "size")
+    order = Window.partitionBy("src", "shard").orderBy(unit_hash(seed + 1, F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("until", F.sum("size").over(order)).join(quota, ["src", "shard"])
     step = F.floor(unit_hash(seed + 2, F.col("src"), F.col("shard")) * F.col("n_blocks"))
 
     def chosen(at):  # words of the first `at` of the shard that the blocks taken once more hold
-        full = F.floor(at / block_tokens)
+        full = F.floor(at / block)
         before = lambda b: F.floor((b * F.col("rest") + step) / F.col("n_blocks"))
-        return before(full) * block_tokens + (before(full + 1) - before(full)) * (at - full * block_tokens)
+        return before(full) * block + (before(full + 1) - before(full)) * (at - full * block)
 
     taken = F.col("whole") * F.col("size") + chosen(F.col("until")) - chosen(F.col("until") - F.col("size"))
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
