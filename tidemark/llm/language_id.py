@@ -112,6 +112,8 @@ class _Memory(dict):
         return at
 
     def table(self) -> np.ndarray:
+        if not self.extra:
+            return self.model.word_rows
         return np.concatenate([self.model.word_rows, np.array(self.extra, dtype=np.float32).reshape(-1, len(self.model.languages))])
 
     def full(self) -> bool:
