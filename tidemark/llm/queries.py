@@ -89,4 +89,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _values(rows: list[tuple[str, str, str, bool]]) -> str:
+    return ", ".join(f"('{e}', '{h}', '{p}', '{v}', {str(r).lower()})" for e, h, p, v, r in rows)
+
+
+_ENTRIES = _values([(e, e.split("/", 1)[0], "/" + e.split("/", 1)[1], v, r) for e, v, r in [*((e, v, True) for e, v in url_filter.RULES), *((e, "block", False) for e in url_filter.LISTED)]])
+
+#: In DuckDB.
+ORACLE: dict[str, str] = {
+    "op5_url_filter": f"""WITH e(entry, e_host, e_path, verdict, is_rule) AS (VALUES {_ENTRIES}),
+ u AS (SELECT page_id, coalesce({_LOWER.format("regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ f AS (SELECT page_id, max(struct_pack(n := length(entry), h := length(e_host), entry := entry, verdict := verdict)) FILTER (is_rule) AS best, bool_or(NOT is_rule) AS listed
+  FROM u JOIN e ON (host = e_host OR suffix(host, '.' || e_host)) AND prefix(path, e_path) GROUP BY page_id)
+ SELECT page_id, host, path, best.entry AS rule, coalesce(best.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f USING (page_id)""",
+    "op7_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, 1 + greatest(1, len(w) - 4))) AS k FROM w WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a WHERE r.c < e.b)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m ON m.doc_id = d.doc_id""",
+    "op8_decontamination": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ iw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + 9], ' ') AS s FROM (SELECT item, w, unnest(range(1, 1 + greatest(1, len(w) - 9))) AS k FROM i WHERE len(w) > 0)),
+ dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw))),
+ m AS (SELECT doc_id, item, k, n FROM dw JOIN iw USING (n, s)),
+ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
+ t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
