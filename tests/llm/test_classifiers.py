@@ -1,0 +1,125 @@
+import random
+
+import numpy as np
+import pytest
+from conftest_llm import docs_of
+from pyspark.sql import functions as F
+
+from tidemark.llm import language_id, quality, toxicity
+from tidemark.llm.common import fold
+from tidemark.llm.queries import op1_quality, op2_language_id, op3_toxicity
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("query,column,least", [(op1_quality, "quality", 0.97), (op3_toxicity, "toxic", 0.85)])
+def test_held_out_labels(spark, query, column, least):
+    """Some of the toxic labels stand on texts without a telling word (those of languages aside, one in fifteen)."""
+    found = query(spark, SF)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert found.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = found.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(rows) > 300
+    for y in (0, 1):
+        own = [r for r in rows if r[column] == y]
+        assert np.mean([r.predicted == y for r in own]) >= least
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_held_out_languages(spark):
+    found = op2_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = found.where("held_out and lang is not null").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) >= 0.98
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "..."), (5, "word " * 60_000), (6, "É漢🙂 \x00"), (7, "two words"), (7, "two words")]
+
+
+def test_odd_texts(spark, words):
+    rng = random.Random(2)
+    docs = docs_of(spark, [(k, " ".join(rng.choice(words) for _ in range(40)) + " awful" * (k % 2)) for k in range(100)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(3, None), (None, 1), (5, 0), (999, 1)], "doc_id long, toxic int")
+    odd = docs_of(spark, ODD)
+    for fit, score in ((toxicity.fit, toxicity.score), (quality.fit, quality.score)):
+        model = fit(docs, labels, "toxic")
+        got = score(odd, model).collect()
+        assert [r.doc_id for r in got] == [x[0] for x in ODD]
+        assert all(0 <= r.score <= 1 for r in got)
+        assert got[-1].score == got[-2].score
+        assert score(docs_of(spark, []), model).collect() == []
+        nothing = fit(docs, labels.where("toxic > 5"), "toxic")
+        assert len({round(r.score, 9) for r in score(odd.where("text is null"), nothing).collect()}) == 1
+    assert np.mean([(r.score >= 0.5) == bool(r.doc_id % 2) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()]) > 0.95
+
+
+def test_odd_languages(spark):
+    labelled = docs_of(spark, [(k, "der hund und die katze" if k % 2 else "the dog and the cat", "de" if k % 2 else "en", "s") for k in range(40)] + [(50, None, "de", "s"), (51, "no language", None, "s")])
+    model = language_id.fit(labelled)
+    assert model.languages == ["de", "en"]
+    got = [r.lang_pred for r in language_id.predict(docs_of(spark, [*ODD, (8, "der hund"), (9, "the thing"), (10, "katzen"), (11, "²³ 12")]), model).collect()]
+    assert got[:4] == ["und"] * 4
+    assert got[-4:-1] == ["de", "en", "de"]
+    assert got[-1] == "und"
+    assert got[4] in ("de", "en")
+    empty = language_id.fit(docs_of(spark, []))
+    assert [r.lang_pred for r in language_id.predict(docs_of(spark, [(1, "word")]), empty).collect()] == ["und"]
+    assert language_id.predict(docs_of(spark, []), model).collect() == []
+
+
+def test_unseen_words_fall_back_to_shorter_grams():
+    words, rows = language_id._rows({"abc": {"x": 9.0}}, ["x", "y"], 0.5)
+    grams = [language_id._rows({g: {lang: 5.0}, "#" * len(g): {"x": 1.0, "y": 1.0}}, ["x", "y"], 0.5) for g, lang in (("q", "y"), ("ab", "x"))]
+    model = language_id.Model(["x", "y"], words, rows, [g[0] for g in grams], [g[1] for g in grams])
+    assert np.argmax(model.unseen("abq")) == 0  # the bigram is known, so the single letter doesn't count
+    assert np.argmax(model.unseen("zq")) == 1
+    assert not model.unseen("zz").any()
+
+
+def test_interactions_are_learned():
+    """Both terms together are toxic, either alone is not: additive weights can't tell that."""
+    rng = np.random.default_rng(0)
+    x = (rng.random((1200, 12)) < 0.5).astype(np.float32)
+    y = (x[:, 0] * x[:, 1]).astype(int)
+    bias, weights, factors = toxicity.train(x, y, 6, 2500, 0.03, 1e-4, 1)
+    machine = toxicity.Machine(np.arange(12), bias, weights, factors)
+    assert machine.score(np.array([0, 1])) > 0.9
+    assert machine.score(np.array([0])) < 0.3
+    assert machine.score(np.array([1])) < 0.3
+    assert np.mean([(machine.score(np.flatnonzero(r)) >= 0.5) == t for r, t in zip(x, y, strict=True)]) > 0.97
+
+
+def test_gradients_of_the_attention_pool():
+    rng = np.random.default_rng(3)
+    model = quality.AttentionPool(5, 4, 0)
+    sizes = np.array([1, 3, 2])
+    first = np.cumsum(sizes) - sizes
+    x, y = rng.normal(0, 1, (6, quality.N_FEATURES)), np.array([1, 0, 1])
+    loss = lambda: -(y * np.log(p := model.forward(x, first, sizes)["p"]) + (1 - y) * np.log(1 - p)).sum()
+    f = model.forward(x, first, sizes)
+    for name, grad in model.gradients(f, first, sizes, f["p"] - y).items():
+        value = getattr(model, name)
+        at = (0,) * value.ndim
+        before = value[at]
+        value[at] = before + 1e-6
+        up = loss()
+        value[at] = before - 1e-6
+        down = loss()
+        value[at] = before
+        assert (up - down) / 2e-6 == pytest.approx(grad[at], rel=1e-4, abs=1e-7)
+
+
+def test_attention_picks_the_telling_passage(spark):
+    good = "the quiet river ran past old stone houses and green fields toward a distant sea "
+    bad = "### $$$ *** %%% &&& ||| ### $$$ *** %%% "
+    docs = docs_of(spark, [(k, good * 12 if k % 2 else good * 6 + bad * 8 + good * 6) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    got = quality.score(docs, quality.fit(docs, labels, epochs=60)).collect()
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got)
+
+
+def test_folds(spark):
+    import zlib
+
+    rows = spark.range(200).select("id", fold(F.col("id"), 5).alias("f")).collect()
+    assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
