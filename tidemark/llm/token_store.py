@@ -17,6 +17,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -31,46 +32,60 @@ from .common import scratch, slices
 MAGIC = b"TMK1"
 SHARDS = "part int, seq long, first_doc long, last_doc long, n_docs long, start_in_part long, n_tokens long, image binary"
 ENCODED = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
-#: A space that doesn't stand between two characters other than white space.
-_TIED = re.compile(r"\s | \s|\A | \Z")
+#: White space other than the space and the line feed.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def single_spaced(text: str) -> bool:
+    """Whether each space stands between two characters other than white space."""
+    return not (text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or _RARE.search(text))
 
 
 class Encoder:
     """Ids of whole texts by a tokenizers file, without special tokens added, as little-endian u32 bytes.
 
     A byte-level pre-tokenizer starts a new piece at each single space between two other characters, so what stands
-    between such spaces is encoded once and remembered while there is room. A text with any other kind of space
-    goes to the library as a whole.
+    between such spaces is encoded once and remembered: in two generations of half the room each, so that frequent
+    words stay when rare ones go. A text with any other kind of space goes to the library as a whole.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.tokenizer, self.room, self.known, self.older = Tokenizer.from_file(path), room, {}, {}
 
     def one(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _TIED.search(text):
+        if not single_spaced(text):
             return self.one(text)
         first, *rest = text.split(" ")
-        try:
-            return self.one(first) + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            if len(self.known) > self.room:
-                self.known.clear()
-            new = list({x for x in rest if x not in self.known})
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                for word, got in zip(some, self.tokenizer.encode_batch_fast([f" {x}" for x in some], add_special_tokens=False), strict=True):
-                    self.known[word] = np.asarray(got.ids, dtype="<u4").tobytes()
-            return self.one(first) + b"".join(map(self.known.__getitem__, rest))
+        found = list(map(self.known.get, rest))
+        if missing := [k for k, x in enumerate(found) if x is None]:
+            self._learn({rest[k] for k in missing})
+            for k in missing:
+                found[k] = self.known[rest[k]]
+        return self.one(first) + b"".join(found)
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > self.room // 2:
+            self.older, self.known = self.known, {}
+        unseen = []
+        for word in words:
+            if word in self.older:
+                self.known[word] = self.older[word]
+            else:
+                unseen.append(word)
+        for k in range(0, len(unseen), 4096):
+            some = unseen[k : k + 4096]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast([f" {x}" for x in some], add_special_tokens=False), strict=True):
+                self.known[word] = array("I", got.ids).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -84,7 +99,7 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, size: int, n_docs: int, most_bytes: int) -> bytes:
-    """A zstandard dictionary from the ids of at most n_docs documents (those with the least hash), most_bytes of each.
+    """A zstandard dictionary from the ids of at most n_docs documents, those read first, most_bytes of each.
 
     It bears on the size of the files alone. Where the sample is too small to train on, its own bytes are the dictionary.
     """
@@ -96,8 +111,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, size: int
             ids = [np.frombuffer(encode(x[: 8 * most_bytes].decode("utf-8", "ignore")), "<u4").astype(f"<u{width}").tobytes() for x in texts]
             yield pa.RecordBatch.from_arrays([pa.array([x[:most_bytes] for x in ids], pa.binary())], ["ids"])
 
-    some = docs.select("text", F.xxhash64("doc_id").alias("h")).where("text <> ''").orderBy("h", "text").limit(n_docs)
-    samples = sorted(bytes(r.ids) for r in some.select("text").mapInArrow(run, "ids binary").collect() if r.ids)
+    some = docs.where("text <> ''").select("text").limit(n_docs)
+    samples = sorted(bytes(r.ids) for r in some.mapInArrow(run, "ids binary").collect() if r.ids)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
