@@ -14,6 +14,7 @@ row (statistics of first_doc and last_doc prune the rest), the index and that on
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -41,12 +42,36 @@ def single_spaced(text: str) -> bool:
     return not (text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or _RARE.search(text))
 
 
+#: Ends of words that are pieces of their own after a letter.
+_TAIL = ".,;:!?"
+
+
+def atoms(word: str) -> list[str] | None:
+    """What a word, as it stands after a space, is put together from: its lines, and their ends after a Latin letter.
+
+    `\\n` before an atom says that it follows a line feed, `\\r` that it follows a letter. None where lines are empty,
+    since line feeds in a row are no pieces of their own.
+    """
+    out: list[str] = []
+    for k, line in enumerate(word.split("\n")):
+        if not line:
+            return None
+        stem = line.rstrip(_TAIL)
+        cut = stem and stem[-1].isalpha() and stem[-1] < "\u0250"
+        out.append(("\n" if k else "") + (stem if cut else line))
+        if cut and len(stem) < len(line):
+            out.append("\r" + line[len(stem) :])
+    return out
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, without special tokens added, as little-endian u32 bytes.
 
     A byte-level pre-tokenizer starts a new piece at each single space between two other characters, so what stands
     between such spaces is encoded once and remembered: in two generations of half the room each, so that frequent
-    words stay when rare ones go. A text with any other kind of space goes to the library as a whole.
+    words stay when rare ones go. Unseen words are put together from remembered atoms, and unseen atoms are encoded
+    many at a time, a line feed between. A text with any other kind of space goes to the library as a whole, and with
+    any other kind of tokenizer all texts do.
     """
 
     def __init__(self, path: str, room: int = 1_000_000):
@@ -56,6 +81,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known, self.older = Tokenizer.from_file(path), room, {}, {}
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        self.by_word = (
+            cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not made["normalizer"] and not made["truncation"] and not made["padding"]
+            and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or set(x["content"]) & {" ", "\n", *_TAIL} for x in made["added_tokens"])
+        )
+        self.newline = self.one("\n")
+        self.by_word = self.by_word and len(self.newline) == 4
 
     def one(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -63,11 +96,12 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not single_spaced(text):
+        if not self.by_word or not single_spaced(text):
             return self.one(text)
         first, *rest = text.split(" ")
         found = list(map(self.known.get, rest))
-        if missing := [k for k, x in enumerate(found) if x is None]:
+        if None in found:
+            missing = [k for k, x in enumerate(found) if x is None]
             self._learn({rest[k] for k in missing})
             for k in missing:
                 found[k] = self.known[rest[k]]
@@ -76,16 +110,49 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > self.room // 2:
             self.older, self.known = self.known, {}
-        unseen = []
+        known, older = self.known, self.older
+        made, unseen = {}, set()
         for word in words:
-            if word in self.older:
-                self.known[word] = self.older[word]
-            else:
-                unseen.append(word)
-        for k in range(0, len(unseen), 4096):
-            some = unseen[k : k + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([f" {x}" for x in some], add_special_tokens=False), strict=True):
-                self.known[word] = array("I", got.ids).tobytes()
+            if word in older:
+                known[word] = older[word]
+                continue
+            if word.isalpha():
+                unseen.add(word)
+                continue
+            parts = atoms(word)
+            if parts is None:
+                known[word] = self.one(f" {word}")
+                continue
+            if len(parts) > 1:
+                made[word] = parts
+            for x in parts:
+                if x not in known:
+                    if x in older:
+                        known[x] = older[x]
+                    else:
+                        unseen.add(x)
+        self._encode([x for x in unseen if x[0] not in "\n\r"], "\n ", " ", b"")
+        self._encode([x[1:] for x in unseen if x[0] == "\n"], "\n", "", self.newline, "\n")
+        for x in unseen:
+            if x[0] == "\r":
+                known[x] = self.one(x[1:])
+        for word, parts in made.items():
+            known[word] = b"".join([known[x] for x in parts])
+
+    def _encode(self, some: list[str], between: str, before: str, lead: bytes, mark: str = "", at_once: int = 4096) -> None:
+        """Remember atoms, encoded with line feeds between, which are pieces of their own there."""
+        for k in range(0, len(some), at_once):
+            part = some[k : k + at_once]
+            (got,) = self.tokenizer.encode_batch_fast([before + between.join(part)], add_special_tokens=False)  # without offsets
+            ids = array("I", got.ids).tobytes()
+            cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.newline, "<u4")[0])
+            if len(cuts) != len(part) - 1:
+                raise ValueError("a line feed between words is not a piece of its own with this tokenizer")
+            ends = [*(4 * cuts).tolist(), len(ids)]
+            start = 0
+            for word, end in zip(part, ends, strict=True):
+                self.known[mark + word] = lead + ids[start:end]
+                start = end + 4
 
 
 _encoders: dict[str, Encoder] = {}
