@@ -83,7 +83,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered while there is room."""
 
-    def __init__(self, room: int = 400_000):
+    def __init__(self, room: int = 200_000):
         super().__init__()
         self.room = room
 
@@ -110,18 +110,21 @@ class _Powers:
     def __init__(self):
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _ODD, dtype=np.uint64)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), dtype=np.uint64)]), dtype=np.uint64)
-        return self.up, self.down
+    def to(self, n: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Those for a longer text than `most` are not kept, as a worker process lives on."""
+        if len(self.up) >= n:
+            return self.up, self.down
+        up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, dtype=np.uint64)]), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+        if n <= most:
+            self.up, self.down = up, down
+        return up, down
 
 
 _powers = _Powers()
 _BYTE = mixed(np.frombuffer(_LOWER, np.uint8).astype(np.uint64) + U64(0x51_7C_C1_B7_27_22_0A_95))  # A-Z count as a-z
 
 
-def shingle_sets(texts: list[bytes], width: int = 5, at_once: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int = 5, at_once: int = 1 << 19) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of runs of `width` words, A-Z lower-cased.
 
     Of fewer words the whole sequence is one run; a text without words has an empty set. Words are hashed as

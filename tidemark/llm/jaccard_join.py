@@ -95,7 +95,7 @@ def sets_of(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
     return docs.mapInArrow(run, SETS)
 
 
-def tiles_of(sets: DataFrame, percent: int, frequent: np.ndarray, per_bucket: int = 1_000_000) -> DataFrame:
+def tiles_of(sets: DataFrame, percent: int, frequent: np.ndarray, per_bucket: int = 300_000) -> DataFrame:
     """Rows (member, doc, size, early) of the members in the prefixes of two documents or more of sizes that may link.
 
     Prefixes go to the buckets of their members' hashes in packed arrays, not as rows of their own. Members frequent in
