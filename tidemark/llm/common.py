@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             at += n
 
 
+_held: list[Any] = [None, None]
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between its tasks: one thing alone, so that operators which take turns in a process don't add up."""
+    if _held[0] != key:
+        _held[:] = None, None
+        _held[:] = key, make()
+    return _held[1]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values: a bijection, so distinct values stay distinct."""
     x = x ^ (x >> U64(30))
@@ -120,7 +132,6 @@ class _Powers:
         return up, down
 
 
-_powers = _Powers()
 _BYTE = mixed(np.frombuffer(_LOWER, np.uint8).astype(np.uint64) + U64(0x51_7C_C1_B7_27_22_0A_95))  # A-Z count as a-z
 
 
@@ -139,7 +150,7 @@ def shingle_sets(texts: list[bytes], width: int = 5, at_once: int = 1 << 19) ->
             size += len(texts[k]) + 1
             k += 1
         raw = np.frombuffer(b" ".join(some) + b" ", np.uint8)
-        up, down = _powers.to(len(raw))
+        up, down = kept("powers", _Powers).to(len(raw))
         sums = np.empty(len(raw) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64, out=sums[1:])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import kept, slices, stored
 
 #: Lower-cases A-Z; every ASCII byte that is neither letter nor digit becomes a space; the rest stays, byte for byte.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -37,17 +37,6 @@ def automaton(patterns: dict[bytes, list[str]]):
     return a
 
 
-_built: dict[str, object] = {}
-
-
-def built(key: str, patterns: dict[bytes, list[str]]):
-    """The automaton, once for each worker process."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = automaton(patterns)
-    return _built[key]
-
-
 def scan(text: bytes, found) -> tuple[int, np.ndarray, list[str], list[tuple[int, int, int, int]]]:
     """Number of words, flags of the hit words, items, and spans of hit words with byte offsets in the text as it was."""
     flat = text.translate(_NORMAL)
@@ -106,7 +95,7 @@ def _scanner(patterns: dict[bytes, list[str]], keep_row: bool = False):
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("from_byte", pa.int64()), ("to_byte", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = built(key, patterns) if patterns else None
+        found = kept(("automaton", key), lambda: automaton(patterns)) if patterns else None
         for piece, texts in slices(batches):
             got = [scan(x, found) if found is not None else (len(words(x)), np.zeros(0, bool), [], []) for x in texts]
             columns = [

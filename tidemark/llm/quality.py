@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, slices
+from .common import WordHashes, kept, slices
 from .labelled import labelled_sample
 
 SCORED = "doc_id long, score double, most_weight double"
-_hashes = WordHashes()
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!?", b"|", b"#*$%&<>", b"\n", b":;()[]{}\"'=/\\_-@+~^`"]
 _KIND = np.full(256, len(_CLASSES) + 1, dtype=np.int64)  # what is left: control characters and spaces
 _KIND[128:] = len(_CLASSES)
@@ -32,7 +31,7 @@ def passages(text: bytes, words_each: int) -> np.ndarray:
     cuts = np.arange(0, n, words_each)
     sizes = np.diff(np.append(cuts, n))
     raw = np.frombuffer(text, np.uint8)
-    h = _hashes.of(words)
+    h = kept("quality", WordHashes).of(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
     own = np.repeat(np.arange(len(cuts)), sizes)
     inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))

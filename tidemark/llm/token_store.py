@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices
+from .common import kept, scratch, slices
 
 MAGIC = b"TMK1"
 SHARDS = "part int, seq long, first_doc long, last_doc long, n_docs long, start_in_part long, n_tokens long, image binary"
@@ -155,14 +155,8 @@ class Encoder:
                 start = end + 4
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, size: int, n_docs: int, most_bytes: int) -> bytes:

@@ -10,19 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, slices
+from .common import U64, WordHashes, kept, slices
 from .decontaminate import words
 from .labelled import labelled_sample
 
 SCORED = "doc_id long, score double"
-_hashes = WordHashes()
 
 
 def terms(text: bytes, bits: int) -> np.ndarray:
     """Hashed distinct words, lower-cased where they are ASCII, and hashed beginnings of 4 and 5 bytes of longer words."""
     own = set(words(text))
     begin = {w[:4] + b"-" for w in own if len(w) > 4} | {w[:5] + b"-" for w in own if len(w) > 5}
-    return np.unique(_hashes.of([*own, *begin]) & U64((1 << bits) - 1)).astype(np.int64)
+    return np.unique(kept("toxicity", WordHashes).of([*own, *begin]) & U64((1 << bits) - 1)).astype(np.int64)
 
 
 @dataclass
