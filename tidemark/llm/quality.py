@@ -42,7 +42,7 @@ def passages(text: bytes, words_each: int) -> np.ndarray:
     chars = np.bincount(where * _KINDS + _KIND[raw], minlength=len(cuts) * _KINDS).reshape(-1, _KINDS)[: len(cuts)]
     order = np.lexsort((h, own))
     repeated = (h[order][1:] == h[order][:-1]) & (own[order][1:] == own[order][:-1])
-    kept = np.bincount(own[order][1:][repeated], minlength=len(cuts))
+    same = np.bincount(own[order][1:][repeated], minlength=len(cuts))
     twins = np.bincount(own[1:][h[1:] == h[:-1]], minlength=len(cuts))
     three = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7) if n > 2 else h[:0]
     seen = np.ones(len(three), dtype=bool)
@@ -52,7 +52,7 @@ def passages(text: bytes, words_each: int) -> np.ndarray:
     spread = np.sqrt(np.maximum(0, np.bincount(own, lengths.astype(float) ** 2, minlength=len(cuts)) / sizes - mean**2))
     short = np.bincount(own[lengths <= 2], minlength=len(cuts))
     total = np.maximum(1, chars.sum(axis=1))
-    return np.column_stack([chars / total[:, None], kept / sizes, twins / sizes, again / sizes, mean / 10, spread / 10, short / sizes, sizes / words_each, np.full(len(cuts), np.log1p(n) / 10), np.ones(len(cuts))]).astype(np.float32)
+    return np.column_stack([chars / total[:, None], same / sizes, twins / sizes, again / sizes, mean / 10, spread / 10, short / sizes, sizes / words_each, np.full(len(cuts), np.log1p(n) / 10), np.ones(len(cuts))]).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
