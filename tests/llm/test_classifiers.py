@@ -89,6 +89,38 @@ def test_interactions_are_learned():
     assert np.mean([(machine.score(np.flatnonzero(r)) >= 0.5) == t for r, t in zip(x, y, strict=True)]) > 0.97
 
 
+def test_telling_words_do_not_crowd_out_others(spark, words):
+    """Three hundred telling words of one language, a rarer one of another, and a planted pair that is toxic only together."""
+    rng = random.Random(8)
+    plain, other = words[:200], [f"ñ{w}" for w in words[200:300]]
+    crowd = [f"{a}{b}rude" for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouäëïöüáéíóú"]
+    say = lambda own, *more: " ".join(rng.sample([*(rng.choice(own) for _ in range(30)), *more], 30 + len(more)))
+    kinds = {
+        "crowd": lambda: (say(plain, *rng.sample(crowd, 40)), 1),
+        "plain": lambda: (say(plain), 0),
+        "rare": lambda: (say(other, "bocoo"), 1),
+        "other": lambda: (say(other), 0),
+        "pair": lambda: (say(plain, "alpha", "beta"), 1),
+        "alpha": lambda: (say(plain, "alpha"), 0),
+        "beta": lambda: (say(plain, "beta"), 0),
+    }
+    some = [kinds[k]() for k, n in {"crowd": 200, "plain": 300, "rare": 12, "other": 80, "pair": 60, "alpha": 60, "beta": 60}.items() for _ in range(n)]
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(some)], "doc_id long, toxic int")
+    machine = toxicity.fit(docs_of(spark, [(k, text) for k, (text, _) in enumerate(some)]), labels)
+    new = [(kind, *kinds[kind]()) for kind in kinds for _ in range(20)]
+    got = toxicity.score(docs_of(spark, [(k, text) for k, (_, text, _) in enumerate(new)]), machine).collect()
+    for kind in kinds:
+        assert np.mean([(r.score >= 0.5) == new[r.doc_id][2] for r in got if new[r.doc_id][0] == kind]) >= (0.7 if kind == "rare" else 0.9), kind  # 12 documents teach the rare word
+
+
+def test_held_out_toxic_labels_of_each_language(spark):
+    found = op3_toxicity(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1"), "doc_id")
+    rows = found.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert {r.lang for r in rows} == {"de", "en", "es", "fr"}
+    for lang in {r.lang for r in rows}:
+        assert np.mean([r.predicted == 1 for r in rows if r.lang == lang]) >= 0.85, lang
+
+
 def test_gradients_of_the_attention_pool():
     rng = np.random.default_rng(3)
     model = quality.AttentionPool(5, 4, 0)

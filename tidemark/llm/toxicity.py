@@ -35,39 +35,86 @@ class Machine:
 
     def score(self, found: np.ndarray) -> float:
         """Logistic of bias + sum of weights + sum over pairs of <factor, factor>, for distinct sorted terms."""
-        at = np.searchsorted(self.terms, found)
-        at = at[(at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == found)] if len(self.terms) else at[:0]
+        at = places(self.terms, found)
         v = self.factors[at]
         pairs = 0.5 * float((v.sum(axis=0) ** 2 - (v * v).sum(axis=0)).sum())
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at].sum() + pairs, -35, 35))))
 
 
-def train(x: np.ndarray, y: np.ndarray, rank: int, steps: int, rate: float, penalty: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the class-balanced logistic loss; x is documents by terms, 0 or 1."""
+def places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where those of `found` that are known stand in `known`; both are sorted and distinct."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(known, found)
+    return at[known[np.minimum(at, len(known) - 1)] == found]
+
+
+@dataclass
+class Rows:
+    """Documents by terms, 0 or 1, sparse: document k has the terms found[first[k] : first[k + 1]]; a term counts `scale` where it is found."""
+
+    found: np.ndarray
+    first: np.ndarray
+    scale: np.ndarray
+
+    @classmethod
+    def dense(cls, x: np.ndarray) -> Rows:
+        return cls(np.nonzero(x)[1], np.concatenate([[0], np.cumsum((x != 0).sum(axis=1))]), np.ones(x.shape[1], np.float32))
+
+
+def train(x: np.ndarray | Rows, y: np.ndarray, rank: int, steps: int, rate: float, penalty: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam on the class-balanced logistic loss; x is documents by terms, 0 or 1. The scale is in the weights and factors returned."""
     rng = np.random.default_rng(seed)
-    params = [np.zeros(1), np.zeros(x.shape[1]), rng.normal(0, 0.01, (x.shape[1], rank))]
+    rows = x if isinstance(x, Rows) else Rows.dense(x)
+    n, scale = len(rows.scale), rows.scale[:, None]
+    # of each term its factors, then its weight
+    params = [np.zeros(1, np.float32), np.concatenate([rng.normal(0, 0.01, (n, rank)), np.zeros((n, 1))], axis=1).astype(np.float32)]
     first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
+    v, own, grad = (np.zeros_like(params[1]) for _ in range(3))  # these and room are used again in each step: new pages cost more than the sums
+    room = np.empty((np.sort(np.diff(rows.first))[-512:].sum(), rank + 1), np.float32)
     weight = np.where(y == 1, len(y) / max(1, 2 * (y == 1).sum()), len(y) / max(1, 2 * (y == 0).sum()))
     for step in range(1, steps + 1):
         at = rng.choice(len(y), min(512, len(y)), replace=False)
-        b, t = x[at].astype(np.float64), y[at]
-        sums = b @ params[2]
-        out = params[0] + b @ params[1] + 0.5 * ((sums**2).sum(axis=1) - (b @ (params[2] ** 2)).sum(axis=1))
-        err = weight[at] * (1 / (1 + np.exp(-np.clip(out, -35, 35))) - t) / len(at)
-        each = b.T @ err
-        grads = [np.array([err.sum()]), each + penalty * params[1], (b.T * err) @ sums - params[2] * each[:, None] + penalty * params[2]]
-        for k, g in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            params[k] -= rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return float(params[0][0]), params[1], params[2]
-
-
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class: int = 4000, bits: int = 22, n_terms: int = 256, rank: int = 8, steps: int = 1500, rate: float = 0.02, penalty: float = 1e-4, seed: int = 3) -> Machine:
-    """Learn from about per_class documents of each label (the bound of the sample) and their n_terms most telling terms.
-
-    Terms are counted over the sample in Spark; telling is the chi-square of term and label. Without documents of both
-    labels the machine scores all alike: 0.5, or the only label's side of it.
+        sizes = rows.first[at + 1] - rows.first[at]
+        begins = np.cumsum(sizes) - sizes
+        t = rows.found[np.repeat(rows.first[at] - begins, sizes) + np.arange(sizes.sum())].astype(np.int64)
+        np.multiply(params[1], scale, out=v)
+        np.copyto(own, v)
+        own[:, rank] -= 0.5 * np.einsum("ij,ij->i", v[:, :rank], v[:, :rank])
+        sums = np.zeros((len(at), rank + 1), np.float32)
+        if len(t):
+            sums[sizes > 0] = np.add.reduceat(np.take(own, t, axis=0, out=room[: len(t)], mode="clip"), begins[sizes > 0], axis=0)
+        out = params[0] + sums[:, rank] + 0.5 * (sums[:, :rank] ** 2).sum(axis=1)
+        err = (weight[at] * (1 / (1 + np.exp(-np.clip(out, -35, 35))) - y[at]) / len(at)).astype(np.float32)
+        sums[:, rank] = 1
+        grad[:] = 0
+        if len(t):
+            both = np.sort(t << 32 | np.repeat(np.arange(len(at)), sizes))  # by term
+            t = both >> 32
+            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            grad[t[starts]] = np.add.reduceat(np.take(err[:, None] * sums, both & 0xFFFFFFFF, axis=0, out=room[: len(t)], mode="clip"), starts, axis=0)
+        v[:, :rank] *= grad[:, rank:]
+        grad[:, :rank] -= v[:, :rank]
+        grad *= scale
+        grad += np.multiply(params[1], np.float32(penalty), out=v)
+        for k, g in enumerate([err.sum(keepdims=True), grad]):
+            a = v if k else np.zeros_like(g)
+            first[k] += np.multiply(np.subtract(g, first[k], out=a), np.float32(0.1), out=a)
+            second[k] += np.multiply(np.subtract(np.multiply(g, g, out=a), second[k], out=a), np.float32(0.001), out=a)
+            np.sqrt(np.multiply(second[k], np.float32(1 / (1 - 0.999**step)), out=a), out=a)
+            a += np.float32(1e-8)
+            params[k] -= np.multiply(np.divide(first[k], a, out=a), np.float32(rate / (1 - 0.9**step)), out=a)
+    own = params[1] * scale
+    return float(params[0][0]), own[:, rank].copy(), own[:, :rank].copy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class: int = 4000, bits: int = 22, least_count: int = 3, rank: int = 8, steps: int = 1500, rate: float = 0.02, penalty: float = 1e-4, seed: int = 3) -> Machine:
+    """Learn from about per_class documents of each label (the bound of the sample) and all terms in least_count of them or more.
+
+    Terms are counted over the sample in Spark. None is left out for others: the scale of a term depends on its own
+    chi-square alone, near 0 for what chance gives and half of the most at 30, so that tens of thousands of terms that
+    tell nothing can't be learned by heart. Without documents of both labels the machine scores all alike: 0.5, or the
+    only label's side of it.
     """
     sample = labelled_sample(docs, labels, column, per_class)
 
@@ -80,20 +127,21 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class:
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not pos or pos == n:
         return Machine(np.zeros(0, np.int64), 0.0 if not n else 2.0 if pos else -2.0, np.zeros(0), np.zeros((0, rank)))
-    counts = sample.select("y", "text").mapInArrow(each, "term long, y int").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where("n >= 3")
+    counts = sample.select("y", "text").mapInArrow(each, "term long, y int").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= least_count)
     gap = F.col("p") - F.col("n") * F.lit(pos / n)
     chi = gap * gap * n / (F.col("n") * F.lit(pos / n * (1 - pos / n)) * (F.lit(n) - F.col("n") + 1))
-    chosen = np.sort(np.array([r.term for r in counts.orderBy(chi.desc(), "term").limit(n_terms).collect()], dtype=np.int64))
+    told = counts.select("term", chi.alias("chi")).toArrow().sort_by("term")
+    chosen, telling = told.column("term").to_numpy(), told.column("chi").to_numpy()
+    scale = ((telling + 0.1) / (telling + 30)).astype(np.float32)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches):
-            rows = [np.flatnonzero(np.isin(chosen, terms(t, bits), assume_unique=True)).astype(np.int32).tobytes() for t in texts]
+            rows = [places(chosen, terms(t, bits)).astype(np.int32).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "at"])
 
-    rows = sorted(sample.mapInArrow(known, "doc_id long, y int, at binary").collect(), key=lambda r: (r.doc_id, r.y))
-    x = np.zeros((len(rows), len(chosen)), dtype=np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(r.at, np.int32)] = 1
+    rows = sorted(sample.mapInArrow(known, "doc_id long, y int, at binary").collect(), key=lambda r: (r.doc_id, r.y, r.at))
+    found = [np.frombuffer(r.at, np.int32) for r in rows]
+    x = Rows(np.concatenate(found), np.concatenate([[0], np.cumsum([len(f) for f in found])]), scale)
     return Machine(chosen, *train(x, np.array([r.y for r in rows]), rank, steps, rate, penalty, seed))
 
 
