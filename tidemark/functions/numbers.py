@@ -20,18 +20,34 @@ def checked(total: Column) -> Column:
     return F.when(total > most, F.raise_error(F.lit(OVERFLOW)).cast("decimal(20,0)")).otherwise(F.coalesce(total, F.lit(0)).cast("decimal(20,0)"))
 
 
+#: Volumes and prices below these are added as longs, in halves of so many bits: sums of 2^43 rows fit.
+SMALL_VOLUME, SMALL_TICKS, HALF_BITS = 1 << 16, 1 << 24, 20
+
+
 def volume_sum(volume: Column) -> Column:
-    return F.sum(volume.cast("decimal(20,0)"))
+    """Exact sum, null for no rows; only large volumes are added as decimals, which cost several times as much."""
+    small = volume.between(0, SMALL_VOLUME - 1)
+    low = F.sum(F.when(small, volume.cast("long"))).cast("decimal(20,0)")
+    high = F.sum(F.when(~small, volume.cast("decimal(20,0)")))
+    return F.coalesce(low + high, low, high)
 
 
 def vwap(last: Column, volume: Column) -> Column:
-    """Mean price by volume, null for no rows: by the exact sum of products, or where one of them or the sum needs
-    more than 38 digits by the sum of doubles. Exact sums don't depend on the order of rows, so neither does the result.
+    """Mean price by volume, null for no rows. The sums of products are exact, so the order of rows does not matter.
+
+    A product of a small price and a small volume is added as two halves, longs; any other one as those of the price
+    with either half of the volume, decimals, as it may itself need more than 38 digits.
     """
-    product = F.try_multiply(last.cast("decimal(19,0)"), volume.cast("decimal(20,0)"))
-    exact = F.when(F.count(product) == F.count(last), F.try_sum(product)).cast("double")
-    rough = F.sum(last.cast("double") * volume.cast("double"))
-    mean = F.coalesce(exact, rough) / F.lit(float(TICKS_PER_POINT)) / F.nullif(volume_sum(volume).cast("double"), F.lit(0.0))
+    small = volume.between(0, SMALL_VOLUME - 1) & last.between(-SMALL_TICKS, SMALL_TICKS - 1)
+    product = F.when(small, last * volume.cast("long"))
+    upper, lower = F.sum(F.shiftright(product, HALF_BITS)), F.sum(product.bitwiseAND(F.lit((1 << HALF_BITS) - 1)))
+    wide, half = volume.cast("decimal(20,0)"), F.lit(1 << 32).cast("decimal(20,0)")
+    price = F.when(~small, last.cast("decimal(19,0)"))
+    high = F.sum(price * F.call_function("div", wide, half).cast("decimal(10,0)"))
+    low = F.sum(price * (wide % half).cast("decimal(10,0)"))
+    common = (upper.cast("decimal(20,0)") * F.lit(1 << HALF_BITS).cast("decimal(7,0)") + lower.cast("decimal(20,0)")).cast("double")
+    large = high.cast("double") * F.lit(float(1 << 32)) + low.cast("double")
+    mean = F.coalesce(common + large, common, large) / F.lit(float(TICKS_PER_POINT)) / F.nullif(volume_sum(volume).cast("double"), F.lit(0.0))
     return F.when(F.isnan(mean) | (F.abs(mean) == F.lit(float("inf"))), F.raise_error(F.lit(NOT_FINITE)).cast("double")).otherwise(mean)
 
 

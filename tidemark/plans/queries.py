@@ -13,9 +13,10 @@ from ..operators.bars import bars
 from ..operators.flow import flow, side
 from ..operators.summary import summary
 from ..schema import DAY_NS, WIDTHS_NS
-from ..sinks.store import contents, faults
-from ..sources.text import parse, to_text
-from ..sources.ticks import in_range
+from ..sinks.scratch import scratch
+from ..sinks.store import contents, convert_rows, fault_counts, faults, import_text, verify
+from ..sources.text import parse, read, to_text
+from ..sources.ticks import in_range, scan
 from .tick_view import CONTRACT, sql, ticks
 
 #: Half-open ranges; the last holds nothing.
@@ -134,6 +135,49 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow(in_range(parse(raw), *map(parse_iso, RANGES["range"]), pushed=False), CONTRACT)
 
 
+def _exported(spark: SparkSession, sf_dir: str) -> str:
+    """The ticks as a text export: a folder of files whose names are in source order."""
+    path = scratch(spark, "export")
+    to_text(ticks(spark, sf_dir).repartitionByRange("source_row").sortWithinPartitions("source_row")).write.text(path)
+    return path
+
+
+def _text_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines split, numbered and parsed as on import."""
+    return read(spark, _exported(spark, sf_dir)).lines.select("source_row", "timestamp_ns", "last_ticks", "bid_ticks", "ask_ticks", "volume_contracts", "reason")
+
+
+def _published(spark: SparkSession, sf_dir: str, rows: bool = False) -> str:
+    """A root with the ticks imported, verified and, if asked for, copied to the row layout."""
+    root = scratch(spark, "published")
+    import_text(spark, _exported(spark, sf_dir), root, CONTRACT, _LABELS)
+    if rows:
+        convert_rows(spark, root, f"{root}-rows", CONTRACT, _LABELS)
+        root = f"{root}-rows"
+    verify(spark, root, CONTRACT, _LABELS)
+    return root
+
+
+def _stored(kind: str, mode: str) -> Query:
+    begin, end = map(parse_iso, RANGES["range"])
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = scan(spark, _published(spark, sf_dir, mode == "row"), CONTRACT, begin, end, kind, mode, _LABELS).ticks
+        return bars(found, "5m", in_order=True) if kind == "bars" else (flow if kind == "flow" else summary)(found, CONTRACT)
+
+    return query
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What verification counts in ticks with volumes of 0, times that fall, repeated rows and a day that is wrong."""
+    found = ticks(spark, sf_dir)
+    row, at = F.col("source_row"), F.col("timestamp_ns")
+    late = found.withColumn("timestamp_ns", F.when(row % 1000 == 7, at - 3600 * 10**9).otherwise(at)).withColumn("volume_contracts", F.when(row % 500 == 5, F.lit(0)).otherwise(F.col("volume_contracts")).cast("decimal(20,0)"))
+    both = late.unionByName(late.where("source_row % 2000 = 11"))
+    return fault_counts(both.withColumn("day", F.when(row % 700 == 3, F.lit("1999-01-01").cast("date")).otherwise(day(F.col("timestamp_ns")))), rows_each=777)
+
+
+_LABELS = {CONTRACT: "events"}
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -149,9 +193,9 @@ for _name in (None, "range", "empty"):
     _add(f"summary_{_key}", lambda s, d, r=_name: summary(_ranged(s, d, r), CONTRACT), summary_sql(_ranged_sql(_name)))
     _add(f"flow_{_key}", lambda s, d, r=_name: flow(_ranged(s, d, r), CONTRACT), flow_sql(_ranged_sql(_name)))
 for _width in WIDTHS_NS:
-    _add(f"bars_{_width}", lambda s, d, w=_width: bars(ticks(s, d), w), bars_sql(_ranged_sql(None), _width))
-_add("bars_range_edge", lambda s, d: bars(_ranged(s, d, "edge"), "5m"), bars_sql(_ranged_sql("edge"), "5m"))
-_add("bars_empty", lambda s, d: bars(_ranged(s, d, "empty"), "1m"), bars_sql(_ranged_sql("empty"), "1m"))
+    _add(f"bars_{_width}", lambda s, d, w=_width: bars(ticks(s, d), w, in_order=True), bars_sql(_ranged_sql(None), _width))
+_add("bars_range_edge", lambda s, d: bars(_ranged(s, d, "edge"), "5m", in_order=True), bars_sql(_ranged_sql("edge"), "5m"))
+_add("bars_empty", lambda s, d: bars(_ranged(s, d, "empty"), "1m", in_order=True), bars_sql(_ranged_sql("empty"), "1m"))
 _add("bars_ties", lambda s, d: bars(ticks(s, d, minutes=True), "1h"), bars_sql(f"({sql(minutes=True)})", "1h"))
 _add("flow_side_projection", _projection, f"SELECT source_row, {_SIDE} AS side FROM ({sql()})")
 _add("money_projection", _money, f"SELECT source_row, {', '.join(f'{_MONEY.format(f"{x}_ticks")} AS {x}_price' for x in ('last', 'bid', 'ask'))} FROM ({sql()})")
@@ -164,6 +208,18 @@ for _mode, _query in (("column", _modes(False)), ("pruned", _modes(True)), ("row
 _add("parse_roundtrip", _parse_roundtrip, f"SELECT timestamp_ns, last_ticks, bid_ticks, ask_ticks, CAST(volume_contracts AS DECIMAL(20,0)) AS volume_contracts, CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM ({sql()}) GROUP BY ALL")
 _add("partition_inventory", _partitions, f"SELECT CAST(make_timestamp(timestamp_ns // {DAY_NS} * {DAY_NS} // 1000) AS DATE) AS day, count(*) AS record_count, min(timestamp_ns) AS first_ns, max(timestamp_ns) AS last_ns, min(source_row) AS first_row, max(source_row) AS last_row FROM ({sql()}) GROUP BY 1")
 _add("verify_counts", _verify, f"SELECT count(*) AS record_count, count(DISTINCT timestamp_ns // {DAY_NS}) AS n_days, CAST(0 AS BIGINT) AS n_faults FROM ({sql()})")
+_TICK = "source_row, timestamp_ns, last_ticks, bid_ticks, ask_ticks, CAST(volume_contracts AS DECIMAL(20,0)) AS volume_contracts"
+_add("text_read", _text_read, f"SELECT {_TICK}, CAST(NULL AS VARCHAR) AS reason FROM ({sql()})")
+_add("store_summary_pruned", _stored("summary", "pruned"), summary_sql(_ranged_sql("range")))
+_add("store_bars_column", _stored("bars", "column"), bars_sql(_ranged_sql("range"), "5m"))
+_add("store_flow_row", _stored("flow", "row"), flow_sql(_ranged_sql("range")))
+_add(
+    "verify_faulty",
+    _faulty,
+    f"""WITH t AS (SELECT source_row, timestamp_ns - CASE WHEN source_row % 1000 = 7 THEN 3600000000000 ELSE 0 END AS t, CASE WHEN source_row % 500 = 5 THEN 0 ELSE volume_contracts END AS v FROM ({sql()})),
+ b AS (SELECT *, lag(source_row) OVER w AS r0, lag(t) OVER w AS t0 FROM (SELECT * FROM t UNION ALL SELECT * FROM t WHERE source_row % 2000 = 11) WINDOW w AS (ORDER BY source_row, t))
+ SELECT count(*) FILTER (v = 0) AS "values", CAST(0 AS BIGINT) AS nulls, count(*) FILTER (r0 = source_row) AS repeated, count(*) FILTER (t0 > t) AS falls, count(*) FILTER (source_row % 700 = 3) AS days FROM b""",
+)
 _add("crc32_scalar", _crc, None)
 _add("duplicates_preserved", _duplicates, summary_sql(f"(SELECT * FROM ({sql()}) UNION ALL SELECT * FROM ({sql()}))"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 from ..errors import FileError
@@ -27,10 +29,15 @@ class Folder:
     def size(self, name: str) -> int:
         return self._fs.getFileStatus(self._of(name)).getLen()
 
-    def identity(self, name: str = "") -> tuple[int, int]:
-        """Length and time of change, ms."""
-        status = self._fs.getFileStatus(self._of(name))
-        return status.getLen(), status.getModificationTime()
+    def identity(self, name: str = "") -> tuple[int, ...]:
+        """Length and time of change, ms; of a file of this machine also its change of status, ns, device and number."""
+        path = self._of(name)
+        status = self._fs.getFileStatus(path)
+        known = status.getLen(), status.getModificationTime()
+        if self._fs.getUri().getScheme() != "file":
+            return known
+        own = os.stat(path.toUri().getPath())
+        return *known, own.st_ctime_ns, own.st_dev, own.st_ino
 
     def sha256(self, name: str = "") -> str:
         """Read in a stream by the driver's JVM."""

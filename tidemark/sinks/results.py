@@ -6,6 +6,8 @@ import csv
 import io
 import json
 import os
+import tempfile
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -13,14 +15,36 @@ from pyspark.sql import DataFrame
 from ..errors import FileError, UsageError
 
 
-def csv_text(result: DataFrame) -> str:
-    """Header and rows of a result of at most a row for each bucket; nulls are blank, doubles at full precision."""
-    out = io.StringIO()
-    writer = csv.writer(out, lineterminator="\n")
-    writer.writerow(result.columns)
-    for row in result.toLocalIterator():
-        writer.writerow("" if x is None else f"{x:.17g}" if isinstance(x, float) else x for x in row)
-    return out.getvalue()
+class Csv:
+    """Lines of a result as CSV, one partition of it on the driver at a time; nulls are blank, doubles at full precision.
+
+    selected: the ticks that the rows given out so far were made from, by their counts.
+    """
+
+    def __init__(self, result: DataFrame):
+        self.result, self.selected = result, 0
+        self._counts = [c for c in result.columns if c.endswith(("record_count", "_records"))]
+
+    def __iter__(self) -> Iterator[str]:
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(self.result.columns)
+        for row in self.result.toLocalIterator():
+            self.selected += sum(row[c] for c in self._counts)
+            writer.writerow("" if x is None else f"{x:.17g}" if isinstance(x, float) else x for x in row)
+            yield out.getvalue()
+            out.seek(0)
+            out.truncate()
+        yield out.getvalue()
+
+
+def print_lines(lines: Iterable[str]) -> None:
+    """On standard output, once all of them are there."""
+    with tempfile.TemporaryFile("w+", encoding="utf-8", newline="") as f:
+        f.writelines(lines)
+        f.seek(0)
+        for line in f:
+            print(line, end="")
 
 
 def check_outputs(*paths: str | None) -> None:
@@ -33,11 +57,11 @@ def check_outputs(*paths: str | None) -> None:
             raise FileError(f"{p} exists")
 
 
-def write_text(path: str, text: str) -> None:
+def write_lines(path: str, lines: Iterable[str]) -> None:
     temporary = f"{path}.tmp"
     try:
         with open(temporary, "x", encoding="utf-8", newline="") as f:
-            f.write(text)
+            f.writelines(lines)
         os.link(temporary, path)  # fails if path exists, unlike rename
     except OSError as fault:
         raise FileError(str(fault)) from fault
@@ -47,4 +71,4 @@ def write_text(path: str, text: str) -> None:
 
 
 def write_json(path: str, value: dict[str, Any]) -> None:
-    write_text(path, json.dumps(value, indent=2) + "\n")
+    write_lines(path, [json.dumps(value, indent=2) + "\n"])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,29 +22,80 @@ ON_GRID = r"\A-?[0-9]+(\.(0+|50*|250*|750*))?\z"
 DIGITS = r"\A[0-9]+\z"
 
 
+SPLITS = "split string, first_id long, n long, sha256 binary"
+
+
 @dataclass(frozen=True)
 class Parsed:
-    """ticks: all lines as ticks, if bad is none; bad: (row, reason) of the first line that is none."""
+    """lines: all lines with the columns of a tick and reason, null where they are one; digest: of the whole source."""
 
-    ticks: DataFrame
+    lines: DataFrame
     count: int
-    bad: tuple[int, str] | None
+    digest: str
+
+    @property
+    def ticks(self) -> DataFrame:
+        return self.lines.select("source_row", "timestamp_ns", "last_ticks", "bid_ticks", "ask_ticks", "volume_contracts")
+
+    @property
+    def bad(self) -> tuple[int, str] | None:
+        """(row, reason) of the first line that is no tick or goes back in time; this reads the text again.
+
+        Times are compared within a split by a window and between splits on the driver, from one row a split.
+        """
+        narrow = self.lines.select("split", "id", "source_row", "timestamp_ns", "reason")
+        back = F.col("timestamp_ns") < F.lag("timestamp_ns").over(Window.partitionBy("split").orderBy("id"))
+        checked = narrow.withColumn("reason", F.coalesce("reason", F.when(back, "timestamp goes back")))
+        seen = checked.groupBy("split").agg(F.min(F.when(F.col("reason").isNotNull(), F.struct("source_row", "reason"))).alias("bad"), F.min_by("timestamp_ns", "id").alias("first"), F.max("timestamp_ns").alias("most"), F.min("source_row").alias("row")).orderBy("split").collect()
+        faults, most = [], None
+        for r in seen:
+            if r.bad:
+                faults.append((r.bad.source_row, r.bad.reason))
+            if most is not None and r.first is not None and r.first < most:
+                faults.append((r.row, "timestamp goes back"))
+            most = max(x for x in (most, r.most, -1) if x is not None)
+        return min(faults, default=None)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, id (ascending within a split), split (where in the file it begins). Only `\\n` ends a line."""
-    return spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_block_start").alias("split"))
+    """value, id (ascending within a split), split (its file and where in it the split begins). Only `\\n` ends a line."""
+    begin = F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
+    return spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("id"), F.concat_ws("#", "_metadata.file_path", begin).alias("split"))
+
+
+def splits(raw: DataFrame) -> list:
+    """A row for each split, in order: its first id, its number of lines and their SHA-256, made where the split is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+        for batch in batches:
+            values, ids = batch.column("value").to_pylist(), batch.column("id").to_pylist()
+            for split, run in groupby(zip(batch.column("split").to_pylist(), range(len(ids)), strict=True), lambda x: x[0]):  # a split's lines stand together
+                at = [k for _, k in run]
+                own = found.setdefault(split, [ids[at[0]], 0, hashlib.sha256()])
+                own[1] += len(at)
+                own[2].update(b"\n".join([*values[at[0] : at[-1] + 1], b""]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64()), pa.array([x[2].digest() for x in found.values()], pa.binary())],
+            ["split", "first_id", "n", "sha256"],
+        )
 
+    return sorted(raw.select(F.col("value").cast("binary").alias("value"), "id", "split").mapInArrow(run, SPLITS).collect())
 
-def numbered(raw: DataFrame) -> tuple[DataFrame, int]:
-    """The lines with source_row, 1 for the first, and their number: splits are counted, then shifted; nothing is sorted."""
-    found = raw.groupBy("split").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).orderBy("split").collect()  # a row a split
+
+def digest_of(found: list) -> str:
+    """SHA-256 over the digests of all splits in order: changes with any byte of a line, and with where files are split."""
+    return hashlib.sha256(b"".join(b"%d:%s" % (r.n, bytes(r.sha256)) for r in found)).hexdigest()
+
+
+def numbered(raw: DataFrame, found: list) -> tuple[DataFrame, int]:
+    """The lines with source_row, 1 for the first, and their number: ids are shifted by split; nothing is sorted or shuffled."""
     before, rows = 0, []
     for r in found:
         rows.append((r.split, r.first_id, before))
         before += r.n
-    shifts = raw.sparkSession.createDataFrame(rows, "split long, first_id long, before long")
-    return raw.join(shifts, "split").withColumn("source_row", F.col("id") - F.col("first_id") + F.col("before") + 1), before
+    shifts = raw.sparkSession.createDataFrame(rows, "split string, first_id long, before long")  # a row for each 128 MB of text or so
+    return raw.join(F.broadcast(shifts), "split").withColumn("source_row", F.col("id") - F.col("first_id") + F.col("before") + 1), before
 
 
 def price_ticks(text: Column) -> Column:
@@ -84,27 +139,13 @@ def parse(raw: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> Parsed:
-    """All lines of one text file as ticks in source order, and the first line that is no tick or goes back in time.
-
-    An empty file is an error, an empty line is a bad one. Times are compared within a split by a window and between
-    splits on the driver, from one row a split.
-    """
-    rows, count = numbered(lines(spark, path))
+    """All lines of a text file, or of the files of a folder by name, in source order, parsed as they are read; an empty file is an error, an empty line a bad one."""
+    raw = lines(spark, path)
+    found = splits(raw)
+    rows, count = numbered(raw, found)
     if not count:
         raise DataError(f"{path}: no ticks")
-    parsed = parse(rows)
-    back = F.col("timestamp_ns") < F.lag("timestamp_ns").over(Window.partitionBy("split").orderBy("id"))
-    checked = parsed.withColumn("reason", F.coalesce("reason", F.when(back, "timestamp goes back")))
-    seen = checked.groupBy("split").agg(F.min(F.when(F.col("reason").isNotNull(), F.struct("source_row", "reason"))).alias("bad"), F.min_by("timestamp_ns", "id").alias("first"), F.max("timestamp_ns").alias("most"), F.min("source_row").alias("row")).orderBy("split").collect()
-    faults, most = [], None
-    for r in seen:
-        if r.bad:
-            faults.append((r.bad.source_row, r.bad.reason))
-        if most is not None and r.first is not None and r.first < most:
-            faults.append((r.row, "timestamp goes back"))
-        most = max(x for x in (most, r.most, -1) if x is not None)
-    ticks = parsed.select("source_row", "timestamp_ns", "last_ticks", "bid_ticks", "ask_ticks", "volume_contracts")
-    return Parsed(ticks, count, min(faults, default=None))
+    return Parsed(parse(rows), count, digest_of(found))
 
 
 def to_text(ticks: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import DataError, UsageError
 from ..functions.time import day_of, format_iso
 from ..sinks.folder import Folder
-from ..sinks.store import check_contract, load, manifest
+from ..sinks.store import BLOCKS, check_contract, load, manifest
 
 MODES = ("row", "column", "pruned")
 #: Columns each query reads; bars need source_row too, for the order of ticks of one time.
@@ -29,6 +32,33 @@ def in_range(ticks: DataFrame, begin: int, end: int, pushed: bool = True) -> Dat
     return ticks.where((at >= begin) & (at < end))
 
 
+@dataclass
+class Read:
+    """What Spark's scans read, by its own input metrics: rows decoded, and bytes asked of the file system."""
+
+    rows: int = 0
+    bytes: int = 0
+
+
+@contextmanager
+def measured(spark: SparkSession) -> Iterator[Read]:
+    """Fills what it gives with the metrics of all jobs that run in its block."""
+    out, group, context = Read(), f"tidemark-{uuid.uuid4().hex}", spark.sparkContext
+    context.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        yield out
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    scala = context._jsc.sc()
+    scala.listenerBus().waitUntilEmpty(60_000)
+    for job in context.statusTracker().getJobIdsForGroup(group):
+        for stage in context.statusTracker().getJobInfo(job).stageIds:
+            if context.statusTracker().getStageInfo(stage):
+                found = scala.statusStore().lastStageAttempt(stage)
+                out.rows += found.inputRecords()
+                out.bytes += found.inputBytes()
+
+
 @dataclass
 class Scan:
     ticks: DataFrame
@@ -36,17 +66,21 @@ class Scan:
     mode: str
     begin: int
     end: int
-    manifest: dict[str, Any]
+    path: str
+
+    def statistics(self, read: Read, selected: int) -> dict[str, Any]:
+        """What the scan examined: files and blocks by the dataset's index, the rest as measured while it ran.
 
-    def statistics(self) -> dict[str, Any]:
-        """What a scan examines, from the manifest and one count; blocks are days here, as files are the reader's own."""
-        days = self.manifest["partitions"]
-        met = [d for d in days if d["last_ns"] >= self.begin and d["first_ns"] < self.end]
-        pruned = self.mode == "pruned"
+        Blocks are row groups; of the row layout, which has none, those that its rows were in. All files and blocks are
+        examined, as the index is read whole; those that can't hold a tick of the range are skipped in pruned mode.
+        """
+        blocks = self.ticks.sparkSession.read.parquet(f"{self.path}/{BLOCKS}")
+        outside = (F.col("last_ns") < self.begin) | (F.col("first_ns") >= self.end)
+        files, n, skipped = blocks.agg(F.countDistinct("day", "file"), F.count("*"), F.count_if(outside)).first()
         return {
             "contract": self.contract, "from_utc": format_iso(self.begin), "to_utc": format_iso(self.end), "scan_mode": self.mode,
-            "files_examined": len(days), "blocks_examined": len(days), "blocks_skipped": len(days) - len(met) if pruned else 0,
-            "rows_decoded": sum(d["record_count"] for d in (met if pruned else days)), "rows_selected": self.ticks.count(),
+            "files_examined": files, "blocks_examined": n, "blocks_skipped": skipped if self.mode == "pruned" else 0,
+            "rows_decoded": read.rows, "rows_selected": selected, "bytes_requested": read.bytes,
         }
 
 
@@ -64,9 +98,9 @@ def scan(spark: SparkSession, root: str, contract: str, begin: int, end: int, ki
     layout = "row" if mode == "row" else "column"
     m = manifest(folder, contract, layout)
     ticks = load(spark, folder.path, layout)
-    if layout == "column" and ticks.count() != m["record_count"]:  # from the footers alone
+    if ticks.count() != m["record_count"]:  # of Parquet from the footers alone
         raise DataError(f"{folder.path}: rows differ from the manifest")
     if mode == "pruned":
         ticks = ticks.where(F.col("day").between(F.lit(day_of(begin)), F.lit(day_of(end - 1))))
     ticks = in_range(ticks, begin, end, pushed=mode == "pruned").select(*COLUMNS[kind])
-    return Scan(ticks, contract, mode, begin, end, m)
+    return Scan(ticks, contract, mode, begin, end, folder.path)

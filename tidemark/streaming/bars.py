@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import checked, money, volume_sum, vwap
+from ..functions.numbers import checked, volume_sum
 from ..functions.time import bucket, iso
-from ..operators.bars import width_ns
+from ..operators.bars import measures, shown, width_ns
 from ..operators.flow import side
 
 
@@ -18,13 +18,9 @@ def _bucketed(ticks: DataFrame, width: str, late: str) -> DataFrame:
     return timed.withWatermark("bucket_time", late)
 
 
-def streaming_bars(ticks: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
+def streaming_bars(ticks: DataFrame, width: str, late: str = "10 minutes", in_order: bool = False) -> DataFrame:
     """As bars() on what is not later than the watermark; each bucket comes out once, in append mode."""
-    last, volume, place = F.col("last_ticks"), F.col("volume_contracts"), F.struct("timestamp_ns", "source_row")
-    grouped = _bucketed(ticks, width, late).groupBy("bucket_time", "bucket_ns").agg(
-        F.min_by(last, place).alias("open"), F.max(last).alias("high"), F.min(last).alias("low"), F.max_by(last, place).alias("close"), volume_sum(volume).alias("volume"), F.count("*").alias("record_count"), vwap(last, volume).alias("vwap")
-    )
-    return grouped.select(iso(F.col("bucket_ns")).alias("bucket_start_utc"), *(money(F.col(x)).alias(x) for x in ("open", "high", "low", "close")), checked(F.col("volume")).alias("volume_contracts"), "record_count", "vwap")
+    return shown(_bucketed(ticks, width, late).groupBy("bucket_time", "bucket_ns").agg(*measures(in_order)))
 
 
 def streaming_flow(ticks: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
