@@ -31,8 +31,8 @@ def translated(fault: Exception) -> TidemarkError:
     if isinstance(fault, TidemarkError):
         return fault
     text = str(fault)
-    if OVERFLOW in text or NOT_FINITE in text:
-        return OverflowFault(OVERFLOW if OVERFLOW in text else NOT_FINITE)
+    if OVERFLOW in text or NOT_FINITE in text or "ARITHMETIC_OVERFLOW" in text:
+        return OverflowFault(NOT_FINITE if NOT_FINITE in text else OVERFLOW)
     if any(x in text for x in ("CRC checksum", "ChecksumException", "not a Parquet file", "FAILED_READ_FILE", "CANNOT_READ_FILE", "ParquetDecodingException", "Could not read", "EOFException", "UNABLE_TO_INFER_SCHEMA")):
         return DataError(f"unreadable partition: {text.splitlines()[0][:300]}")
     return TidemarkError(text.splitlines()[0][:500] if text else type(fault).__name__)

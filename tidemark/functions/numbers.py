@@ -25,29 +25,28 @@ SMALL_VOLUME, SMALL_TICKS, HALF_BITS = 1 << 16, 1 << 24, 20
 
 
 def volume_sum(volume: Column) -> Column:
-    """Exact sum, null for no rows; only large volumes are added as decimals, which cost several times as much."""
-    small = volume.between(0, SMALL_VOLUME - 1)
-    low = F.sum(F.when(small, volume.cast("long"))).cast("decimal(20,0)")
-    high = F.sum(F.when(~small, volume.cast("decimal(20,0)")))
-    return F.coalesce(low + high, low, high)
+    """Exact sum, null for no rows. It is added as longs, large volumes in two parts: decimals cost several times as much."""
+    small, part = volume.between(0, SMALL_VOLUME - 1), F.lit(SMALL_VOLUME).cast("decimal(20,0)")
+    low = F.sum(F.when(small, volume.cast("long")).otherwise((volume.cast("decimal(20,0)") % part).cast("long")))
+    high = F.sum(F.when(~small, F.call_function("div", volume.cast("decimal(20,0)"), part)))
+    return low.cast("decimal(20,0)") + F.coalesce(high, F.lit(0)).cast("decimal(20,0)") * part.cast("decimal(5,0)")
 
 
 def vwap(last: Column, volume: Column) -> Column:
-    """Mean price by volume, null for no rows. The sums of products are exact, so the order of rows does not matter.
+    """Mean price by volume, null for no rows: by the exact sum of products, or where a large one of them or the sum of
+    large ones needs more than 38 digits by the sum of doubles. Exact sums don't depend on the order of rows.
 
-    A product of a small price and a small volume is added as two halves, longs; any other one as those of the price
-    with either half of the volume, decimals, as it may itself need more than 38 digits.
+    A product of a small price and a small volume is added as two halves, longs; only any other one as a decimal.
     """
     small = volume.between(0, SMALL_VOLUME - 1) & last.between(-SMALL_TICKS, SMALL_TICKS - 1)
     product = F.when(small, last * volume.cast("long"))
     upper, lower = F.sum(F.shiftright(product, HALF_BITS)), F.sum(product.bitwiseAND(F.lit((1 << HALF_BITS) - 1)))
-    wide, half = volume.cast("decimal(20,0)"), F.lit(1 << 32).cast("decimal(20,0)")
-    price = F.when(~small, last.cast("decimal(19,0)"))
-    high = F.sum(price * F.call_function("div", wide, half).cast("decimal(10,0)"))
-    low = F.sum(price * (wide % half).cast("decimal(10,0)"))
-    common = (upper.cast("decimal(20,0)") * F.lit(1 << HALF_BITS).cast("decimal(7,0)") + lower.cast("decimal(20,0)")).cast("double")
-    large = high.cast("double") * F.lit(float(1 << 32)) + low.cast("double")
-    mean = F.coalesce(common + large, common, large) / F.lit(float(TICKS_PER_POINT)) / F.nullif(volume_sum(volume).cast("double"), F.lit(0.0))
+    wide = F.when(~small, F.try_multiply(last.cast("decimal(19,0)"), volume.cast("decimal(20,0)")))
+    rough = F.sum(F.when(~small, last.cast("double") * volume.cast("double")))
+    common = F.coalesce(upper, F.lit(0)).cast("decimal(20,0)") * F.lit(1 << HALF_BITS).cast("decimal(7,0)") + F.coalesce(lower, F.lit(0)).cast("decimal(20,0)")
+    large = F.when(F.count(wide) == F.count(F.when(~small, last)), F.coalesce(F.try_sum(wide), F.when(rough.isNull(), F.lit(0).cast("decimal(38,0)"))))
+    total = F.coalesce(F.try_add(common.cast("decimal(38,0)"), large).cast("double"), common.cast("double") + rough)
+    mean = total / F.lit(float(TICKS_PER_POINT)) / F.nullif(volume_sum(volume).cast("double"), F.lit(0.0))
     return F.when(F.isnan(mean) | (F.abs(mean) == F.lit(float("inf"))), F.raise_error(F.lit(NOT_FINITE)).cast("double")).otherwise(mean)
 
 
