@@ -15,7 +15,7 @@ COLUMNS = {
     "op3_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op4_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op5_url_filter": ["page_id", "host", "path", "rule", "verdict"],
-    "op6_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op6_html_extraction": ["page_id", "url", "text", "n_chars", "n_template", "n_marked"],
     "op7_jaccard_join": ["doc_id", "n_shingles", "component_id"],
     "op8_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op9_token_output": ["doc_id", "start", "n_tokens", "ids_crc32"],
