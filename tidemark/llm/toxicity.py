@@ -63,58 +63,65 @@ class Rows:
 
 
 def train(x: np.ndarray | Rows, y: np.ndarray, rank: int, steps: int, rate: float, penalty: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the class-balanced logistic loss; x is documents by terms, 0 or 1. The scale is in the weights and factors returned."""
+    """Adam on the class-balanced logistic loss; x is documents by terms, 0 or 1. The scale is in the weights and factors returned.
+
+    Gradients are sparse: a step reads and changes the rows of the terms in its documents alone.
+    """
     rng = np.random.default_rng(seed)
     rows = x if isinstance(x, Rows) else Rows.dense(x)
-    n, scale = len(rows.scale), rows.scale[:, None]
+    n, scale = len(rows.scale), rows.scale
+    bias, bias_first, bias_second = 0.0, 0.0, 0.0
     # of each term its factors, then its weight
-    params = [np.zeros(1, np.float32), np.concatenate([rng.normal(0, 0.01, (n, rank)), np.zeros((n, 1))], axis=1).astype(np.float32)]
-    first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
-    v, own, grad = (np.zeros_like(params[1]) for _ in range(3))  # these and room are used again in each step: new pages cost more than the sums
-    room = np.empty((np.sort(np.diff(rows.first))[-512:].sum(), rank + 1), np.float32)
+    params = np.concatenate([rng.normal(0, 0.01, (n, rank)), np.zeros((n, 1))], axis=1).astype(np.float32)
+    first, second = np.zeros_like(params), np.zeros_like(params)
+    met, place = np.zeros(n, bool), np.zeros(n, np.int64)
     weight = np.where(y == 1, len(y) / max(1, 2 * (y == 1).sum()), len(y) / max(1, 2 * (y == 0).sum()))
     for step in range(1, steps + 1):
-        at = rng.choice(len(y), min(512, len(y)), replace=False)
+        at = rng.choice(len(y), min(256, len(y)), replace=False)
         sizes = rows.first[at + 1] - rows.first[at]
         begins = np.cumsum(sizes) - sizes
         t = rows.found[np.repeat(rows.first[at] - begins, sizes) + np.arange(sizes.sum())].astype(np.int64)
-        np.multiply(params[1], scale, out=v)
-        np.copyto(own, v)
+        met[t] = True
+        used = np.flatnonzero(met)
+        met[used] = False
+        place[used] = np.arange(len(used))
+        t = place[t]
+        s = scale[used, None]
+        p = params[used]
+        v = p * s
+        own = v.copy()
         own[:, rank] -= 0.5 * np.einsum("ij,ij->i", v[:, :rank], v[:, :rank])
         sums = np.zeros((len(at), rank + 1), np.float32)
         if len(t):
-            sums[sizes > 0] = np.add.reduceat(np.take(own, t, axis=0, out=room[: len(t)], mode="clip"), begins[sizes > 0], axis=0)
-        out = params[0] + sums[:, rank] + 0.5 * (sums[:, :rank] ** 2).sum(axis=1)
+            sums[sizes > 0] = np.add.reduceat(own[t], begins[sizes > 0], axis=0)
+        out = bias + sums[:, rank] + 0.5 * (sums[:, :rank] ** 2).sum(axis=1)
         err = (weight[at] * (1 / (1 + np.exp(-np.clip(out, -35, 35))) - y[at]) / len(at)).astype(np.float32)
         sums[:, rank] = 1
-        grad[:] = 0
         if len(t):
-            both = np.sort(t << 32 | np.repeat(np.arange(len(at)), sizes))  # by term
-            t = both >> 32
-            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            grad[t[starts]] = np.add.reduceat(np.take(err[:, None] * sums, both & 0xFFFFFFFF, axis=0, out=room[: len(t)], mode="clip"), starts, axis=0)
-        v[:, :rank] *= grad[:, rank:]
-        grad[:, :rank] -= v[:, :rank]
-        grad *= scale
-        grad += np.multiply(params[1], np.float32(penalty), out=v)
-        for k, g in enumerate([err.sum(keepdims=True), grad]):
-            a = v if k else np.zeros_like(g)
-            first[k] += np.multiply(np.subtract(g, first[k], out=a), np.float32(0.1), out=a)
-            second[k] += np.multiply(np.subtract(np.multiply(g, g, out=a), second[k], out=a), np.float32(0.001), out=a)
-            np.sqrt(np.multiply(second[k], np.float32(1 / (1 - 0.999**step)), out=a), out=a)
-            a += np.float32(1e-8)
-            params[k] -= np.multiply(np.divide(first[k], a, out=a), np.float32(rate / (1 - 0.9**step)), out=a)
-    own = params[1] * scale
-    return float(params[0][0]), own[:, rank].copy(), own[:, :rank].copy()
-
-
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class: int = 4000, bits: int = 22, least_count: int = 3, rank: int = 8, steps: int = 1500, rate: float = 0.02, penalty: float = 1e-4, seed: int = 3) -> Machine:
-    """Learn from about per_class documents of each label (the bound of the sample) and all terms in least_count of them or more.
-
-    Terms are counted over the sample in Spark. None is left out for others: the scale of a term depends on its own
-    chi-square alone, near 0 for what chance gives and half of the most at 30, so that tens of thousands of terms that
-    tell nothing can't be learned by heart. Without documents of both labels the machine scores all alike: 0.5, or the
-    only label's side of it.
+            back = err[:, None] * sums
+            grad = np.column_stack([np.bincount(t, np.repeat(back[:, k], sizes), minlength=len(used)) for k in range(rank + 1)]).astype(np.float32)
+            grad[:, :rank] -= v[:, :rank] * grad[:, rank:]
+            grad = grad * s + np.float32(penalty) * p
+            m, q = first[used], second[used]
+            m += np.float32(0.1) * (grad - m)
+            q += np.float32(0.001) * (grad * grad - q)
+            first[used], second[used] = m, q
+            params[used] = p - np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(q * np.float32(1 / (1 - 0.999**step))) + np.float32(1e-8))
+        g = float(err.sum())
+        bias_first += 0.1 * (g - bias_first)
+        bias_second += 0.001 * (g * g - bias_second)
+        bias -= rate / (1 - 0.9**step) * bias_first / ((bias_second / (1 - 0.999**step)) ** 0.5 + 1e-8)
+    own = params * scale[:, None]
+    return float(bias), own[:, rank].copy(), own[:, :rank].copy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class: int = 4000, bits: int = 22, rank: int = 8, steps: int = 600, rate: float = 0.02, penalty: float = 1e-4, seed: int = 3) -> Machine:
+    """Learn from about per_class documents of each label (the bound of the sample) and all terms of these.
+
+    Terms are counted over the sample in Spark. None is left out: the scale of a term depends on its own chi-square
+    alone, near 0 for what chance gives and half of the most at 30, so that hundreds of thousands of terms that tell
+    nothing can't be learned by heart. Two documents less than were met count, as one or two may be chance. Without documents of both labels the machine scores all alike: 0.5, or the only
+    label's side of it. Null and repeated labels and ids: see labelled_sample.
     """
     sample = labelled_sample(docs, labels, column, per_class)
 
@@ -127,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class:
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not pos or pos == n:
         return Machine(np.zeros(0, np.int64), 0.0 if not n else 2.0 if pos else -2.0, np.zeros(0), np.zeros((0, rank)))
-    counts = sample.select("y", "text").mapInArrow(each, "term long, y int").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= least_count)
-    gap = F.col("p") - F.col("n") * F.lit(pos / n)
+    counts = sample.select("y", "text").mapInArrow(each, "term long, y int").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    gap = F.greatest(F.abs(F.col("p") - F.col("n") * F.lit(pos / n)) - 2, F.lit(0.0))
     chi = gap * gap * n / (F.col("n") * F.lit(pos / n * (1 - pos / n)) * (F.lit(n) - F.col("n") + 1))
     told = counts.select("term", chi.alias("chi")).toArrow().sort_by("term")
     chosen, telling = told.column("term").to_numpy(), told.column("chi").to_numpy()
@@ -146,7 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", *, per_class:
 
 
 def score(docs: DataFrame, machine: Machine, bits: int = 22) -> DataFrame:
-    """Per row of docs(doc_id, text): score, higher for likelier toxic; a null or empty text has no terms but the bias."""
+    """Per row of docs(doc_id, text): score, higher for likelier toxic; a null or empty text has no terms but the bias.
+
+    All terms of the whole text count. A null doc_id stays null; rows with one doc_id, repeated or not, are each scored
+    by their own text; an empty table gives no rows; other columns, whatever their names, are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches):
