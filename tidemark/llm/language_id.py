@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_check, slices, unit_hash
+from .common import slices, stored, unit_hash
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -49,27 +48,30 @@ class Model:
         return np.zeros(len(self.languages), dtype=np.float32)
 
 
-def _rows(counts: dict[str, dict[str, float]], languages: list[str], alpha: float) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequency in each language, less the mean over languages (so that a word tells languages apart only)."""
-    keys = sorted(counts)
-    table = np.array([[counts[k].get(x, 0.0) for x in languages] for k in keys], dtype=np.float64).reshape(len(keys), len(languages)) + alpha
-    logs = np.log(table / table.sum(axis=0)) if keys else table
-    return {k: i for i, k in enumerate(keys)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32) if keys else logs.astype(np.float32)
+def _rows(counts: DataFrame, languages: list[str], alpha: float) -> tuple[dict[str, int], np.ndarray]:
+    """Of rows (key, lang, count): log frequency in each language, less the mean over languages (so that a key tells languages apart only)."""
+    found = counts.toArrow()
+    keys, at = np.unique(np.array(found.column(0).to_pylist(), dtype=object), return_inverse=True) if found.num_rows else (np.array([], dtype=object), np.zeros(0, np.int64))
+    where = {x: k for k, x in enumerate(languages)}
+    table = np.full((len(keys), len(languages)), alpha)
+    table[at, [where[x] for x in found.column(1).to_pylist()]] += found.column(2).to_numpy()
+    logs = np.log(table / table.sum(axis=0))
+    return {k: i for i, k in enumerate(keys)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(labelled: DataFrame, *, docs_per_language: int = 1500, least_count: int = 3, max_words: int = 60_000, longest: int = 4, max_grams: int = 40_000, max_languages: int = 1000, seed: int = 5) -> Model:
+def fit(labelled: DataFrame, *, docs_per_language: int = 600, longest: int = 4, seed: int = 5) -> Model:
     """A model from labelled(doc_id, text, lang): about docs_per_language documents of each language, by a seeded hash.
 
-    It keeps the max_words most frequent (language, word) counts of least_count or more, and of each length the
-    max_grams most frequent n-grams in those words. Null texts and null languages teach nothing.
+    That is the only bound: all words of these documents are known then, and all n-grams of 1 to `longest` characters in
+    them, a word counting as the root of its number. Words and n-grams are counted in Spark; the model, a row of numbers
+    for each and a column for each language, is on the driver and sent to the tasks. Null texts and null languages teach
+    nothing; rows with one doc_id each count.
     """
     rows = labelled.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    bound_check(len(sizes), max_languages, "languages")
-    languages = sorted(sizes)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    languages = sorted(r.lang for r in sizes.collect())
     if not languages:
         return Model([], {}, np.zeros((0, 0), np.float32), [], [])
-    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_language / n)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches):
@@ -79,24 +81,19 @@ def fit(labelled: DataFrame, *, docs_per_language: int = 1500, least_count: int
             flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.string()), pa.array([r[1] for r in flat], pa.string()), pa.array([r[2] for r in flat], pa.int64())], ["lang", "word", "n"])
 
-    sample = rows.where(unit_hash(seed, F.col("doc_id")) < share[F.col("lang")])
-    seen = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
-    words: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in seen.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect():
-        words[r.word][r.lang] = r.n
-    known, word_rows = _rows(words, languages, 0.5)
-    gram_maps, gram_rows = [], []
+    sample = rows.join(F.broadcast(sizes), "lang").where(unit_hash(seed, F.col("doc_id")) * F.col("n_docs") < docs_per_language)  # a row for each language
+    seen = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    seen = stored(seen, "words")
+    known, word_rows = _rows(seen.select("word", "lang", F.col("n").cast("double").alias("n")), languages, 0.5)
+    padded, maps, tables = F.concat(F.lit(" "), "word", F.lit(" ")), [], []
     for n in range(1, longest + 1):
-        counts: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for w, by in words.items():
-            for g in grams(w, n):
-                for lang, c in by.items():
-                    counts[g][lang] += math.sqrt(c)
-        top = sorted(counts, key=lambda g: (-sum(counts[g].values()), g))[:max_grams]
-        ids, table = _rows({g: counts[g] for g in top}, languages, 0.5)
-        gram_maps.append(ids)
-        gram_rows.append(table)
-    return Model(languages, known, word_rows, gram_maps, gram_rows)
+        size = F.lit(n)
+        gram = F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - size + 1), lambda k: F.substring(padded, k, size)))  # noqa: B023
+        counted = seen.where(F.length(padded) >= n).select(gram.alias("gram"), "lang", F.sqrt("n").alias("n")).groupBy("gram", "lang").agg(F.round(F.sum("n"), 6).alias("n"))
+        ids, table = _rows(counted, languages, 0.5)
+        maps.append(ids)
+        tables.append(table)
+    return Model(languages, known, word_rows, maps, tables)
 
 
 class _Memory(dict):
@@ -124,7 +121,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of docs(doc_id, text): lang_pred and score, the share of the best language's likelihood.
 
     A text that is null or has no letter is `und` with score 0, and so is any text if no language was learned. Of equal
-    languages the first by name wins. All words of a text count. Other columns are left out.
+    languages the first by name wins. All words of a text count. A null doc_id stays null; rows with one doc_id, repeated
+    or not, are each judged by their own text; an empty table gives no rows; other columns, whatever their names, are
+    left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
