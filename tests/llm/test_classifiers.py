@@ -48,8 +48,11 @@ def test_odd_texts(spark, words):
         assert all(0 <= r.score <= 1 for r in got)
         assert got[-1].score == got[-2].score
         assert score(docs_of(spark, []), model).collect() == []
+        assert len({r.score for r in got[:3]}) == 1  # null, empty and white space
         nothing = fit(docs, labels.where("toxic > 5"), "toxic")
-        assert len({round(r.score, 9) for r in score(odd.where("text is null"), nothing).collect()}) == 1
+        assert all(0 <= r.score <= 1 for r in score(odd, nothing).collect())
+        if fit is toxicity.fit:
+            assert {r.score for r in score(odd, nothing).collect()} == {0.5}
     assert np.mean([(r.score >= 0.5) == bool(r.doc_id % 2) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()]) > 0.95
 
 
@@ -67,9 +70,10 @@ def test_odd_languages(spark):
     assert language_id.predict(docs_of(spark, []), model).collect() == []
 
 
-def test_unseen_words_fall_back_to_shorter_grams():
-    words, rows = language_id._rows({"abc": {"x": 9.0}}, ["x", "y"], 0.5)
-    grams = [language_id._rows({g: {lang: 5.0}, "#" * len(g): {"x": 1.0, "y": 1.0}}, ["x", "y"], 0.5) for g, lang in (("q", "y"), ("ab", "x"))]
+def test_unseen_words_fall_back_to_shorter_grams(spark):
+    made = lambda *rows: language_id._rows(spark.createDataFrame(rows, "key string, lang string, n double"), ["x", "y"], 0.5)
+    words, rows = made(("abc", "x", 9.0))
+    grams = [made((g, lang, 5.0), ("#" * len(g), "x", 1.0), ("#" * len(g), "y", 1.0)) for g, lang in (("q", "y"), ("ab", "x"))]
     model = language_id.Model(["x", "y"], words, rows, [g[0] for g in grams], [g[1] for g in grams])
     assert np.argmax(model.unseen("abq")) == 0  # the bigram is known, so the single letter doesn't count
     assert np.argmax(model.unseen("zq")) == 1
@@ -121,17 +125,25 @@ def test_held_out_toxic_labels_of_each_language(spark):
         assert np.mean([r.predicted == 1 for r in rows if r.lang == lang]) >= 0.85, lang
 
 
+def bags_of(rng, sizes):
+    """Random bags of so many passages, one of the passages without words."""
+    out = []
+    for n in sizes:
+        words = rng.integers(0, 5, n)
+        out.append(quality.Bag(rng.normal(0, 1, (n, quality.N_FEATURES)).astype(np.float32), rng.integers(0, 40, words.sum()).astype(np.uint16), words))
+    return out
+
+
 def test_gradients_of_the_attention_pool():
     rng = np.random.default_rng(3)
-    model = quality.AttentionPool(5, 4, 0)
-    sizes = np.array([1, 3, 2])
-    first = np.cumsum(sizes) - sizes
-    x, y = rng.normal(0, 1, (6, quality.N_FEATURES)), np.array([1, 0, 1])
-    loss = lambda: -(y * np.log(p := model.forward(x, first, sizes)["p"]) + (1 - y) * np.log(1 - p)).sum()
-    f = model.forward(x, first, sizes)
-    for name, grad in model.gradients(f, first, sizes, f["p"] - y).items():
+    model = quality.AttentionPool(5, 4, 0, 3)
+    model.W = rng.normal(0, 1, model.W.shape)
+    bags, y = bags_of(rng, [1, 3, 2]), np.array([1, 0, 1])
+    loss = lambda: -(y * np.log(p := model.forward(bags)["p"]) + (1 - y) * np.log(1 - p)).sum()
+    f = model.forward(bags)
+    for name, grad in model.gradients(f, f["p"] - y).items():
         value = getattr(model, name)
-        at = (0,) * value.ndim
+        at = (bags[1].words[0], 1) if name == "W" else (0,) * value.ndim
         before = value[at]
         value[at] = before + 1e-6
         up = loss()
@@ -141,13 +153,125 @@ def test_gradients_of_the_attention_pool():
         assert (up - down) / 2e-6 == pytest.approx(grad[at], rel=1e-4, abs=1e-7)
 
 
+def test_pool_matches_plain_python():
+    """The score of a document by loops over passages, words and units."""
+    import math
+
+    rng = np.random.default_rng(4)
+    model = quality.AttentionPool(4, 3, 1, 2)
+    model.W = rng.normal(0, 1, model.W.shape).astype(np.float32)
+    model.mean, model.scale = rng.normal(0, 1, quality.N_FEATURES), rng.uniform(0.5, 2, quality.N_FEATURES)
+    bags = bags_of(rng, [2, 1, 5])
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda row, m, j: sum(float(x) * float(m[i][j]) for i, x in enumerate(row))
+    for bag, p, weight in zip(bags, (f := model.forward(bags))["p"], np.maximum.reduceat(f["a"], f["first"]), strict=True):
+        at, states, gates = 0, [], []
+        for counts, n in zip(bag.counts, bag.sizes, strict=True):
+            own = bag.words[at : at + n]
+            at += n
+            row = [(float(c) - m) / s for c, m, s in zip(counts, model.mean, model.scale, strict=True)] + [sum(float(model.W[w][j]) for w in own) / max(1, n) for j in range(2)]
+            h = [math.tanh(dot(row, model.E, j)) for j in range(4)]
+            states.append(h)
+            gates.append(math.exp(sum(float(model.w[j]) * math.tanh(dot(h, model.V, j)) * sigmoid(dot(h, model.U, j)) for j in range(3))))
+        a = [g / sum(gates) for g in gates]
+        z = [sum(a[k] * states[k][j] for k in range(len(states))) for j in range(4)]
+        assert p == pytest.approx(sigmoid(sum(z[j] * model.c[j] for j in range(4)) + model.b[0]), rel=1e-6)
+        assert weight == pytest.approx(max(a), rel=1e-6)
+
+
+def test_machine_matches_plain_python():
+    """The score by a loop over all pairs of terms."""
+    import math
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    known = np.array([3, 8, 9, 20, 31])
+    machine = toxicity.Machine(known, 0.3, rng.normal(0, 1, 5), rng.normal(0, 1, (5, 3)))
+    for found in ([], [8], [3, 9, 31], [1, 3, 8, 9, 20, 31, 40]):
+        at = [list(known).index(t) for t in found if t in known]
+        total = 0.3 + sum(machine.weights[k] for k in at) + sum(machine.factors[i][d] * machine.factors[j][d] for i, j in combinations(at, 2) for d in range(3))
+        assert machine.score(np.array(found, np.int64)) == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+
+
+def test_language_matches_plain_python(spark):
+    """Words, n-grams, back-off and score of a whole prediction, counted and added in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(3)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(12))
+    rows = [(k, say("abcd" if k % 2 else "cdef"), "x" if k % 2 else "y", "s") for k in range(30)]
+    count = {"x": Counter(), "y": Counter()}
+    for _, text, lang, _ in rows:
+        count[lang].update(re.findall(r"[^\W\d_]+", text))
+
+    def logs(by):
+        keys = {k for c in by.values() for k in c}
+        total = {lang: sum(by[lang].values()) + 0.5 * len(keys) for lang in by}
+        return {k: {lang: math.log((by[lang][k] + 0.5) / total[lang]) for lang in by} for k in keys}
+
+    known = logs(count)
+    grams = []
+    for n in range(1, 5):
+        by = {lang: Counter() for lang in count}
+        for lang, c in count.items():
+            for w, times in c.items():
+                for k in range(len(w) + 3 - n):
+                    by[lang][f" {w} "[k : k + n]] += math.sqrt(times)
+        grams.append(logs(by))
+
+    def of(word):
+        if word in known:
+            return known[word]
+        for n in (4, 3, 2, 1):
+            found = [g for k in range(len(word) + 3 - n) if (g := f" {word} "[k : k + n]) in grams[n - 1]]
+            if found:
+                return {lang: sum(grams[n - 1][g][lang] for g in found) / len(found) for lang in count}
+        return {lang: 0.0 for lang in count}
+
+    new = [(100 + k, say("abcdefgh"), None, "s") for k in range(40)]
+    got = {r.doc_id: r for r in language_id.predict(docs_of(spark, new), language_id.fit(docs_of(spark, rows))).collect()}
+    for k, text, _, _ in new:
+        total = {lang: sum(of(w)[lang] for w in text.split()) for lang in count}
+        best = max(sorted(total), key=total.get)
+        assert got[k].lang_pred == best
+        assert got[k].score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), rel=1e-4)
+
+
 def test_attention_picks_the_telling_passage(spark):
     good = "the quiet river ran past old stone houses and green fields toward a distant sea "
     bad = "### $$$ *** %%% &&& ||| ### $$$ *** %%% "
     docs = docs_of(spark, [(k, good * 12 if k % 2 else good * 6 + bad * 8 + good * 6) for k in range(60)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
-    got = quality.score(docs, quality.fit(docs, labels, epochs=60)).collect()
+    model = quality.fit(docs, labels, epochs=60)
+    got = quality.score(docs, model).collect()
     assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got)
+    bag = quality.passages((good * 6 + bad * 8 + good * 6).encode(), 48)
+    weights = model.forward([bag])["a"]
+    signs = bag.counts[:, quality._KIND[ord("#")]]
+    assert np.argmax(weights) in np.argsort(signs)[-2:]  # of four passages the two with signs
+    assert weights.max() > 1.2 / len(weights)
+
+
+def test_words_alone_are_told_apart(spark, words):
+    """Same shape, same letters mixed: only what the words are tells the labels, as learned embeddings do."""
+    rng = random.Random(7)
+    kinds = words[:60], words[60:120]
+    made = lambda y: " ".join(rng.choice(kinds[y] + words[120:300]) for _ in range(120))
+    docs, labels = [(k, made(k % 2)) for k in range(300)], [(k, k % 2) for k in range(200)]
+    model = quality.fit(docs_of(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = quality.score(docs_of(spark, docs[200:]), model).collect()
+    assert np.mean([(r.score >= 0.5) == bool(r.doc_id % 2) for r in got]) >= 0.95
+
+
+def test_long_texts_are_learned_from_whole(spark, words):
+    """What tells stands in one passage of some hundred, far from the beginning."""
+    rng = random.Random(9)
+    made = lambda y: " ".join([rng.choice(words) for _ in range(4000)] + ["telling"] * (40 * y) + [rng.choice(words) for _ in range(800)])
+    docs = [(k, made(k % 2)) for k in range(60)]
+    model = quality.fit(docs_of(spark, docs[:40]), spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int"), epochs=60)
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in quality.score(docs_of(spark, docs[40:]), model).collect())
 
 
 def test_folds(spark):

@@ -16,6 +16,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     share = {r.y: min(1.0, per_class / r.n) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = known.where(unit_hash(seed, F.col("doc_id")) < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))).limit(4 * per_class)
+    chosen = known.where(unit_hash(seed, F.col("doc_id")) < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    chosen = chosen.orderBy(unit_hash(seed, F.col("doc_id")), "doc_id").limit(4 * per_class)  # the same ones in each run
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return stored(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
