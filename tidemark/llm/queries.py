@@ -65,7 +65,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.RULES, url_filter.LISTED)).drop("listed")
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES, url_filter.listed_table(spark)).drop("listed")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,19 +92,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _values(rows: list[tuple[str, str, str, bool]]) -> str:
-    return ", ".join(f"('{e}', '{h}', '{p}', '{v}', {str(r).lower()})" for e, h, p, v, r in rows)
-
-
-_ENTRIES = _values([(e, e.split("/", 1)[0], "/" + e.split("/", 1)[1], v, r) for e, v, r in [*((e, v, True) for e, v in url_filter.RULES), *((e, "block", False) for e in url_filter.LISTED)]])
+_RULES = ", ".join(f"('{e}', '{e.split('/', 1)[0]}', '/{e.split('/', 1)[1]}', '{v}')" for e, v in url_filter.RULES)
+_IN = lambda some: ", ".join(f"('{x}')" for x in some)
 
 #: In DuckDB.
 ORACLE: dict[str, str] = {
-    "op5_url_filter": f"""WITH e(entry, e_host, e_path, verdict, is_rule) AS (VALUES {_ENTRIES}),
- u AS (SELECT page_id, coalesce({_LOWER.format("regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
- f AS (SELECT page_id, max(struct_pack(n := length(entry), h := length(e_host), entry := entry, verdict := verdict)) FILTER (is_rule) AS best, bool_or(NOT is_rule) AS listed
-  FROM u JOIN e ON (host = e_host OR suffix(host, '.' || e_host)) AND prefix(path, e_path) GROUP BY page_id)
- SELECT page_id, host, path, best.entry AS rule, coalesce(best.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f USING (page_id)""",
+    "op5_url_filter": f"""WITH e(entry, e_host, e_path, verdict) AS (VALUES {_RULES}),
+ d(d) AS (VALUES {_IN(url_filter.LISTED_DOMAINS)}),
+ l AS (SELECT w || '.' || d AS l_host, NULL AS l_path FROM d, (VALUES {_IN(url_filter.LISTED_WORDS)}) w(w)
+  UNION ALL SELECT d, '/' || s || '/' || k FROM d, (VALUES {_IN(url_filter.LISTED_SECTIONS)}) s(s), range(0, {url_filter.LISTED_LAST + 1}, {url_filter.LISTED_STEP}) r(k)),
+ p AS (SELECT page_id, coalesce({_LOWER.format("regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ u AS (SELECT DISTINCT host, path FROM p),
+ f AS (SELECT host, path, max(struct_pack(n := length(entry), h := length(e_host), entry := entry, verdict := verdict)) AS best FROM u JOIN e ON (host = e_host OR suffix(host, '.' || e_host)) AND prefix(path, e_path) GROUP BY ALL),
+ s AS (SELECT host, path, array_to_string(string_split(host, '.')[k:], '.') AS s FROM (SELECT host, path, unnest(range(1, 1 + len(string_split(host, '.')))) AS k FROM u WHERE host <> '')),
+ h AS (SELECT DISTINCT host, path FROM s JOIN l ON s = l_host AND (l_path IS NULL OR l_path = regexp_replace(path, '(/|\\.html)$', '')))
+ SELECT page_id, host, path, best.entry AS rule, coalesce(best.verdict, CASE WHEN h.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN f USING (host, path) LEFT JOIN h USING (host, path)""",
     "op7_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, 1 + greatest(1, len(w) - 4))) AS k FROM w WHERE len(w) > 0)),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
