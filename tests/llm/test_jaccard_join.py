@@ -87,6 +87,29 @@ def test_copies_share_a_class_and_repeated_rows_stay(spark):
     assert got == [(3, 3, 3), (3, 3, 3), (5, 3, 3), (9, 9, 9)]
 
 
+def test_null_ids_and_ids_with_two_texts(spark):
+    """A null id links with nothing; the two texts of id 2 are two documents, which tie nothing together."""
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, one), (2, one), (2, two), (3, two), (3, two), (None, one), (None, "other words"), (None, None), (5, None), (4, "x")]
+    got = sorted(((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in jj.jaccard_components(docs_of(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 4, 1, 1), (2, 4, 1, 1), (2, 4, 2, 2), (3, 4, 2, 2), (3, 4, 2, 2), (None, 4, None, None), (None, 1, None, None), (None, 0, None, None), (5, 0, 5, 5), (4, 1, 4, 4)], key=str)
+
+
+def test_groups_are_cut_by_members(spark, words):
+    """Groups of long texts hold fewer documents, and lose no link."""
+    rng = random.Random(5)
+    body = [rng.choice(words) for _ in range(400)]
+    rows = [(k, " ".join([*body[: 200 + k], f"w{k}", *body[200 + k :]])) for k in range(60)]
+    docs = docs_of(spark, rows)
+    cut = jj.groups_of
+    try:
+        jj.groups_of = lambda tiles, percent: cut(tiles, percent, most_members=4000)
+        got = {r.doc_id: r.component_id for r in jj.jaccard_components(docs).collect()}
+    finally:
+        jj.groups_of = cut
+    assert got == {d: c for d, (_, c) in brute(rows).items()}
+
+
 def test_empty_table(spark):
     assert jj.jaccard_components(docs_of(spark, [])).collect() == []
 
@@ -102,10 +125,17 @@ def test_blocks_of_a_tile_find_all_pairs(spark):
 
 def test_bitmaps_bound_overlap_from_above():
     rng = np.random.default_rng(0)
+    sets = []
     for n, m, shared in ((10, 12, 8), (300, 900, 200), (5, 5, 0), (1000, 1000, 1000)):
         both = rng.integers(0, 1 << 63, n + m - shared, dtype=np.uint64)
         a, b = both[:n], both[n - shared :]
-        assert shared <= jj.most_overlap(n, jj.bitmap(a), m, jj.bitmap(b)) <= min(n, m)
+        assert shared <= jj.most_overlaps(np.array([n]), [jj.bitmap(a)], np.array([m]), [jj.bitmap(b)])[0] <= min(n, m)
+        sets.append((a, b, shared))
+    sizes, bits = ([[f(s[k]) for s in sets] for k in (0, 1)] for f in (len, jj.bitmap))
+    both = jj.most_overlaps(np.array(sizes[0]), bits[0], np.array(sizes[1]), bits[1])
+    for (a, b, _), most in zip(sets, both, strict=True):
+        x, y = (set(((s >> np.uint64(7)) & np.uint64(min(len(jj.bitmap(a)), len(jj.bitmap(b))) * 8 - 1)).tolist()) for s in (a, b))
+        assert most == min(len(a) - len(x - y), len(b) - len(y - x))
 
 
 def test_shingle_sets_are_those_of_words():

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import U64, mixed, shingle_sets, slices, stored, unit_hash
 from .components import connected_components
 
-SETS = "doc_id long, n long, h1 long, h2 long, bits binary, prefix binary"
+SETS = "doc_id long, node long, n long, h1 long, h2 long, bits binary, prefix binary"
 PACKED = "bucket long, members binary, at binary, early binary, docs binary, sizes binary"
 TILES = "member long, doc long, size long, early boolean"
 MET = "doc_id long, group long, leader long"
@@ -47,14 +47,21 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def most_overlap(na: int, a: bytes, nb: int, b: bytes) -> int:
-    """No set pair with these sizes and bitmaps shares more: each bit that one has alone stands for a member that it has alone."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) < len(y):
-        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
-    elif len(y) < len(x):
-        x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)
-    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+def most_overlaps(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes]) -> np.ndarray:
+    """For each pair of sets with these sizes and bitmaps: none shares more, as each bit that one has alone stands for a member that it has alone.
+
+    Pairs of the same two widths are taken together; the wider bitmap is folded to the narrower one's width.
+    """
+    wide = np.array([list(map(len, a)), list(map(len, b))]).T.reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for wa, wb in np.unique(wide, axis=0):
+        at = np.flatnonzero((wide == (wa, wb)).all(axis=1))
+        x, y = (np.frombuffer(b"".join([bits[k] for k in at]), np.uint64).reshape(len(at), -1) for bits in (a, b))
+        w = min(wa, wb) // 8
+        x, y = (np.bitwise_or.reduce(z.reshape(len(at), -1, w), axis=1) for z in (x, y))
+        alone = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64)
+        out[at] = np.minimum(na[at] - alone(x, y), nb[at] - alone(y, x))
+    return out
 
 
 def frequent_members(docs: DataFrame, width: int, share: float, least: int, most: int) -> np.ndarray:
@@ -88,8 +95,8 @@ def sets_of(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
                 rows.append((n, whole, other, bitmap(s), prefix[: n - -(-percent * n // 100) + 1].tobytes() if n else b""))
             signed = lambda k: pa.array(np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), signed(1), signed(2), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())],
-                ["doc_id", "n", "h1", "h2", "bits", "prefix"],
+                [piece.column("doc_id"), piece.column("node"), pa.array([r[0] for r in rows], pa.int64()), signed(1), signed(2), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())],
+                ["doc_id", "node", "n", "h1", "h2", "bits", "prefix"],
             )
 
     return docs.mapInArrow(run, SETS)
@@ -153,22 +160,23 @@ def tiles_of(sets: DataFrame, percent: int, frequent: np.ndarray, per_bucket: in
     return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tiles, TILES)
 
 
-def groups_of(tiles: DataFrame, percent: int, most: int = 2048) -> DataFrame:
+def groups_of(tiles: DataFrame, percent: int, most: int = 2048, most_members: int = 2_000_000) -> DataFrame:
     """Rows (doc_id, group, leader): the leader that a document meets most often in its own size band, and the one below.
 
     A band's leader in a tile is its first document by size and id. As those of the next band that are not too long for
     it come to its group as well, documents on both sides of a border meet. Leaders are in their groups; those of one
-    leader are cut into groups of about `most` by a hash.
+    leader are cut by a hash into groups of about `most`, or of as many as have most_members members, 16 MB of sets and as
+    much of bitmaps.
     """
     band = F.floor(F.log("size") / F.log(F.lit(100.0 / percent)))
     lead = tiles.where("early").groupBy("member", band.alias("band")).agg(F.min(F.struct("size", "doc")).alias("lead"))
     visits = tiles.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band - F.col("below"))
     met = visits.join(lead, ["member", "band"]).where("doc <> lead.doc").where(F.lit(percent) * F.col("size") <= 100 * F.col("lead.size"))
-    met = met.groupBy("doc", F.col("lead.doc").alias("leader"), "below").count()
-    best = met.groupBy("doc").agg(*(F.max(F.when(F.col("below") == k, F.struct("count", "leader"))).alias(f"best{k}") for k in (0, 1)))
-    pairs = best.select(F.explode(F.array_compact(F.array_distinct(F.array("best0.leader", "best1.leader")))).alias("leader"), F.col("doc").alias("doc_id"))
+    met = met.groupBy("doc", "size", F.col("lead.doc").alias("leader"), "below").count()
+    best = met.groupBy("doc", "size").agg(*(F.max(F.when(F.col("below") == k, F.struct("count", "leader"))).alias(f"best{k}") for k in (0, 1)))
+    pairs = best.select(F.explode(F.array_compact(F.array_distinct(F.array("best0.leader", "best1.leader")))).alias("leader"), F.col("doc").alias("doc_id"), "size")
     pairs = stored(pairs, "met")
-    cuts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / most).alias("cuts"))
+    cuts = pairs.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / most_members)).alias("cuts"))
     own = pairs.join(cuts, "leader").select("doc_id", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), "cuts")).alias("group"), "leader")
     return stored(own.union(own.select(F.col("leader").alias("doc_id"), "group", "leader").distinct()), "groups")
 
@@ -295,16 +303,17 @@ def cross_pairs(tiles: DataFrame, components: DataFrame, groups: DataFrame, perc
 
 
 def bounded_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps do not rule a link out."""
+    """The pairs whose bitmaps do not rule a link out, dealt over as many tasks as a shuffle has by default."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, xa, xb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "bits_a", "bits_b"))
-            keep = [most_overlap(n, x, m, y) >= least_overlap(n, m, percent) for n, x, m, y in zip(na, xa, nb, xb, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            most = most_overlaps(na, batch.column("bits_a").to_pylist(), nb, batch.column("bits_b").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array(most >= least_overlap(na, nb, percent)))
 
     of = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits_{k}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, PAIRS)
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.join(of("b"), "b").repartition(tasks, "a").join(of("a"), "a").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, PAIRS)
 
 
 def linked_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int, members: int = 64) -> DataFrame:
@@ -336,30 +345,54 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int, me
     return texts.repartition("a", "k").sortWithinPartitions("a", "k", "second").mapInArrow(run, PAIRS)
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, sample_share: float = 0.05, frequent_in: int = 3, max_frequent: int = 200_000) -> DataFrame:
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs(doc_id, text) with node: the doc_id, or a hash of id and text where rows of one doc_id have different texts."""
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h := F.xxhash64("text")).alias("least"), F.max(h).alias("most"))
+    many = stored(texts.where("least <> most").select(F.col("doc_id").alias("many")), "many-texts")
+    n = many.count()
+    if not n:
+        return docs.withColumn("node", F.col("doc_id")), False
+    joined = docs.join(F.broadcast(many) if n <= 1_000_000 else many, F.col("doc_id") == F.col("many"), "left")
+    return joined.withColumn("node", F.when(F.col("many").isNotNull(), F.xxhash64(F.lit(3), "doc_id", "text")).otherwise(F.col("doc_id"))).drop("many"), True
+
+
+def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, sample_rows: int = 1_000_000, sample_share: float = 0.05, frequent_in: int = 3, max_frequent: int = 200_000) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, class_id, component_id.
 
     A set has the distinct `width`-word shingles of the text, A-Z lower-cased; with fewer words the whole sequence is
     one. class_id is the least doc_id with just the same set, component_id the least one that links reach (itself
     included), where 100 * intersection >= percent * union is a link. Null and empty texts and those without words
     have an empty set, link with nothing and are a component of their own. Rows with one doc_id and the same text are
-    one document; doc_id is not null and has one text. An empty table gives no rows. Other columns are left out.
+    one document; rows with one doc_id and different texts are different documents, each linked by its own text alone.
+    A row with a null doc_id links with nothing; its class_id and component_id are null. An empty table gives no rows.
+    Other columns are left out. Which members are frequent is seen in a sample of sample_share of the rows or about
+    sample_rows, whichever is less; it moves work between tasks and never a link.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_members(docs, width, sample_share, frequent_in, max_frequent)
-    sets = stored(sets_of(docs, width, percent, frequent), "sets")
+    share = min(sample_share, sample_rows / max(1, docs.count()))
+    told, apart = _told_apart(docs)
+    nodes = told.select(F.col("node").alias("doc_id"), "text")
+    frequent = frequent_members(docs, width, share, frequent_in, max_frequent)
+    sets = stored(sets_of(told.select("doc_id", "node", "text"), width, percent, frequent), "sets")
     key = ["n", "h1", "h2"]
-    classes = stored(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "classes")
-    copies = classes.where("rows > 1").select("class_id", *key)
-    own = sets.where("n > 0").join(copies, key, "left").where("class_id is null or class_id = doc_id").select("doc_id", "n", "prefix")
+    named = sets.where("n > 0 and node is not null")
+    classes = stored(named.groupBy(*key).agg(F.min("node").alias("class_node"), F.min("doc_id").alias("class_id")), "classes")
+    # one document stands for its class: found by its own id, so that a class of very many copies is no group
+    own = named.select(F.col("node").alias("doc_id"), "n", "prefix", "bits").join(classes.select(F.col("class_node").alias("doc_id")), "doc_id", "left_semi")
+    own = stored(own, "own")
     tiles = stored(tiles_of(own, percent, frequent), "tiles")
-    bits = sets.select("doc_id", "n", "bits").where("n > 0")
     groups = groups_of(tiles, percent)
-    near = stored(group_links(groups, docs, width, percent), "near")
+    near = stored(group_links(groups, nodes, width, percent), "near")
     more = cross_pairs(tiles, connected_components(near), groups, percent)
-    more = linked_pairs(bounded_pairs(more, bits, percent), docs, width, percent)
+    more = linked_pairs(bounded_pairs(more, own.select("doc_id", "n", "bits"), percent), nodes, width, percent)
     links = stored(near.unionByName(more), "links")
     found = connected_components(links)
-    per_class = classes.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sets.select("doc_id", *key).join(per_class, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    per_class = classes.join(found.select(F.col("node").alias("class_node"), "component"), "class_node", "left").withColumn("component", F.coalesce("component", "class_node"))
+    if apart:  # then the least node may not be the least id
+        per_class = per_class.join(per_class.groupBy("component").agg(F.min("class_id").alias("component_id")), "component")
+    else:
+        per_class = per_class.withColumn("component_id", F.col("component"))
+    # texts without words stay out of this join; a class of many copies is one row on the right, so its rows can be split
+    out = named.select("doc_id", *key).join(per_class.select(*key, "class_id", "component_id"), key)
+    alone = sets.where("n = 0 or node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id").unionByName(alone)
