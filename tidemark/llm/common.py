@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks.scratch import scratch
+
 U64 = np.uint64
 #: ASCII white space, as the word pattern [^\x20\x09-\x0D]+ has it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,23 +23,6 @@ _ODD = 0x9E3779B97F4A7C15
 _SLICE_ROWS, _SLICE_BYTES = 256, 4 << 20
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir), removed when the driver ends.
-
-    Where the setting is absent, as in tests, a temporary folder of this machine becomes the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, so a lost executor costs no earlier stage."""
     spark = df.sparkSession
@@ -177,7 +160,11 @@ def shingle_sets(texts: list[bytes], width: int = 5, at_once: int = 1 << 19) ->
     return out
 
 
-def bound_check(n: int, most: int, what: str) -> None:
-    """Refuse to put more on the driver or into a broadcast than the stated bound."""
-    if n > most:
-        raise ValueError(f"{what}: {n} exceeds the bound of {most}")
+def kept_rows(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows of docs whose text keep() flags, whole and in place: nothing is shuffled or joined; null texts are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in slices(batches):
+            yield piece.filter(pa.array(np.asarray(keep(texts), dtype=bool)))
+
+    return docs.mapInArrow(run, docs.schema)

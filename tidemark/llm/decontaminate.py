@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices, stored
+from .common import kept, kept_rows, slices, stored
 
 #: Lower-cases A-Z; every ASCII byte that is neither letter nor digit becomes a space; the rest stays, byte for byte.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -61,43 +61,72 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10
     """Per row of docs(doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated, items, spans of hit words.
 
     benchmark has item_id and text, question and answer together. Words are lower-cased runs of ASCII letters, digits
-    and all other than ASCII characters. The windows of the items are scanned for in one automaton as long as they
-    take at most batch_bytes; beyond that the items are split into so many passes over the texts, whose results are
-    put together, so that neither the driver nor a task ever holds more. A null text has no words; items without
-    words have no windows; items that repeat count once; a null item_id reads as an empty string; empty tables
-    give no hits or no rows. Rows with one doc_id are each judged by themselves.
+    and all other than ASCII characters. The windows of the items are scanned for in one automaton, which each worker
+    builds from the items' texts. Only where windows would take more than batch_bytes are the items split over several
+    automata, each for a scan of the texts, whose rows are first written with a number each, by which the results are
+    put together. A null text has no words; items without words have no windows; items that repeat count once; a null
+    item_id reads as an empty string; empty tables give no hits or no rows. Rows with one doc_id, or a null one, are
+    each judged by themselves. Other columns are left out.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text <> ''").distinct()
-    size = items.agg(F.sum(F.octet_length("text").cast("long") * width)).first()[0] or 0
-    passes = max(1, -(-size // batch_bytes))
+    items = _items(benchmark)
+    passes = _passes(items, width, batch_bytes)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if passes == 1:
-        return docs.mapInArrow(_scanner(_patterns(items, width)), FOUND)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+        return docs.mapInArrow(_scanner(_texts(items), width), FOUND)
+    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
     found = None
     for k in range(passes):
-        part = _patterns(items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k), width)
-        one = docs.mapInArrow(_scanner(part, keep_row=True), f"{FOUND}, row long")
+        part = _texts(items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k))
+        one = docs.mapInArrow(_scanner(part, width, keep_row=True), f"{FOUND}, row long")
         found = one if found is None else found.unionByName(one)
     return _merge(stored(found, "decontaminate"))
 
 
-def _patterns(items: DataFrame, width: int) -> dict[bytes, list[str]]:
-    out: dict[bytes, set[str]] = {}
-    for r in items.collect():  # at most batch_bytes / width of text
-        for p in windows(r.text.encode(), width):
-            out.setdefault(p, set()).add(r.item)
-    return {p: sorted(x) for p, x in sorted(out.items())}
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, batch_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of docs in which no window of an item occurs, with all their columns; see find_contamination."""
+    items = _items(benchmark)
+    passes = _passes(items, width, batch_bytes)
+    for k in range(passes):
+        found = _automata(_texts(items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)), width)
+        docs = kept_rows(docs, lambda texts, found=found: np.array([(a := found()) is None or not scan(x, a)[2] for x in texts], dtype=bool))
+    return docs
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text <> ''").distinct()
+
+
+def _passes(items: DataFrame, width: int, batch_bytes: int) -> int:
+    size = items.agg(F.sum(F.octet_length("text").cast("long") * width)).first()[0] or 0
+    return max(1, -(-size // batch_bytes))
+
+
+def _texts(items: DataFrame) -> list[tuple[str, bytes]]:
+    return sorted((r.item, r.text.encode()) for r in items.collect())  # at most batch_bytes / width of text
+
+
+def _automata(texts: list[tuple[str, bytes]], width: int):
+    """Gives the automaton of the items' windows, None without any; made once in each worker process."""
+    key = hashlib.sha256(repr((texts, width)).encode()).hexdigest()
+
+    def make():
+        patterns: dict[bytes, set[str]] = {}
+        for item, text in texts:
+            for p in windows(text, width):
+                patterns.setdefault(p, set()).add(item)
+        return automaton({p: sorted(x) for p, x in sorted(patterns.items())}) if patterns else None
+
+    return lambda: kept(("automaton", key), make)
 
 
-def _scanner(patterns: dict[bytes, list[str]], keep_row: bool = False):
-    key = hashlib.sha256(repr(list(patterns.items())).encode()).hexdigest()
+def _scanner(texts: list[tuple[str, bytes]], width: int, keep_row: bool = False):
+    automata = _automata(texts, width)
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("from_byte", pa.int64()), ("to_byte", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = kept(("automaton", key), lambda: automaton(patterns)) if patterns else None
-        for piece, texts in slices(batches):
-            got = [scan(x, found) if found is not None else (len(words(x)), np.zeros(0, bool), [], []) for x in texts]
+        found = automata()
+        for piece, raw in slices(batches):
+            got = [scan(x, found) if found is not None else (len(words(x)), np.zeros(0, bool), [], []) for x in raw]
             columns = [
                 piece.column("doc_id"),
                 pa.array([x[0] for x in got], pa.int64()),
