@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, scratch, slices
+from .common import kept, scratch, slices, unit_hash
 
 MAGIC = b"TMK1"
 SHARDS = "part int, seq long, first_doc long, last_doc long, n_docs long, start_in_part long, n_tokens long, image binary"
@@ -146,8 +146,9 @@ class Encoder:
             (got,) = self.tokenizer.encode_batch_fast([before + between.join(part)], add_special_tokens=False)  # without offsets
             ids = array("I", got.ids).tobytes()
             cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.newline, "<u4")[0])
-            if len(cuts) != len(part) - 1:
-                raise ValueError("a line feed between words is not a piece of its own with this tokenizer")
+            if len(cuts) != len(part) - 1:  # a line feed is no piece of its own somewhere among these
+                self.known.update((mark + word, lead + self.one(before + word)) for word in part)
+                continue
             ends = [*(4 * cuts).tolist(), len(ids)]
             start = 0
             for word, end in zip(part, ends, strict=True):
@@ -159,8 +160,8 @@ def encoder(path: str) -> Encoder:
     return kept(("encoder", path), lambda: Encoder(path))
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, size: int, n_docs: int, most_bytes: int) -> bytes:
-    """A zstandard dictionary from the ids of at most n_docs documents, those read first, most_bytes of each.
+def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, size: int, n_docs: int, seed: int = 23) -> bytes:
+    """A zstandard dictionary from the whole id arrays of about n_docs documents, drawn from all by a seeded hash of id and text.
 
     It bears on the size of the files alone. Where the sample is too small to train on, its own bytes are the dictionary.
     """
@@ -169,11 +170,13 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, size: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for _, texts in slices(batches):
-            ids = [np.frombuffer(encode(x[: 8 * most_bytes].decode("utf-8", "ignore")), "<u4").astype(f"<u{width}").tobytes() for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([x[:most_bytes] for x in ids], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(encode(x.decode()), "<u4").astype(f"<u{width}").tobytes() for x in texts], pa.binary())], ["ids"])
 
-    some = docs.where("text <> ''").select("text").limit(n_docs)
-    samples = sorted(bytes(r.ids) for r in some.mapInArrow(run, "ids binary").collect() if r.ids)
+    some = docs.where("text <> ''")
+    drawn = unit_hash(seed, F.col("doc_id"), F.col("text"))
+    share = n_docs / max(1, docs.count())  # of Parquet from the footers
+    chosen = some.where(drawn < share).select("text").distinct() if share < 1 else some.select("text").distinct()
+    samples = sorted(bytes(r.ids) for r in chosen.mapInArrow(run, "ids binary").collect() if r.ids)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -230,7 +233,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    raw = train_dictionary(docs, tokenizer_path, width, dict_bytes, dict_docs, 16 << 10)
+    raw = train_dictionary(docs, tokenizer_path, width, dict_bytes, dict_docs)
     sha, end = hashlib.sha256(raw).digest(), struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
