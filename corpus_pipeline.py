@@ -8,34 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard_join, mixing, token_store, toxicity
-from tidemark.llm.common import scratch
+from tidemark.llm.common import scratch, stored
 from tidemark.llm.queries import table, tokenizer_path
 
+#: Ids of dropped copies that are sent to the texts, 8 bytes each; beyond that texts are shuffled to meet them.
+SENT_IDS = 2_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine, fitted on the labels of these documents, scores below 0.5; rows with a null id stay out of it and stay."""
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    toxic = scored.where("score >= 0.5").select(F.col("doc_id").alias("_toxic_id")).distinct()
-    return docs.join(toxic, docs.doc_id == F.col("_toxic_id"), "left_anti")
+    """Rows that the machine, fitted on the labels of these documents, scores below 0.5, each by its own text.
+
+    Null and empty texts have the score of no terms; null ids and repeated rows are rows like others; rows stay in place.
+    """
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, the one with the least doc_id; texts without words all stay."""
-    found = jaccard_join.jaccard_components(docs.where("doc_id is not null"))
-    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_copy_id")).distinct()
-    return docs.join(copies, docs.doc_id == F.col("_copy_id"), "left_anti")
+    """Rows of one document of each component of near copies, the one with the least doc_id.
+
+    Rows that repeat it all stay; so do texts without words and rows with a null id. Of an id with different texts that
+    are told apart, all go if one of them is a copy of a lesser id's.
+    """
+    found = jaccard_join.jaccard_components(docs)
+    copies = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_copy_id")).distinct(), "copies")
+    few = copies.count() <= SENT_IDS
+    return docs.join(F.broadcast(copies) if few else copies, docs.doc_id == F.col("_copy_id"), "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, docs.doc_id == F.col("_hit_id"), "left_anti")
+    """Rows in which no window of a benchmark item occurs, each by its own text; null texts have none, rows stay in place."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
-    return mixing.apply_mix(docs.where("doc_id is not null"))
+    """Rows as often as the mix takes them: not at all, once or twice; null ids and repeated rows are rows like others."""
+    return mixing.apply_mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
