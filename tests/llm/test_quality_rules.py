@@ -73,8 +73,62 @@ def test_risk_is_controlled(spark):
     assert {(r.stratum, r.rule) for r in cut} == {("middle", "symbols")}
 
 
+def tail(n, k, p):
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)
+    return sum(math.exp(log(i)) for i in range(k + 1))
+
+
+def test_cutoffs_and_verdicts_match_brute_force(spark):
+    """The whole of choosing and testing on the table, in plain Python, from the measures alone."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    labels = labels.select("doc_id", "quality")
+    measured = qr.measures(docs).join(labels.where("quality is not null"), "doc_id").withColumn("tests", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(2)) == 0).cache()
+    rows = measured.collect()
+    rate = {
+        "symbols": lambda r: r.n_symbols / max(r.word_chars, 1), "repeats": lambda r: r.n_repeat_words / max(r.n_words, 1), "dup_lines": lambda r: r.n_dup_lines / max(r.n_lines, 1),
+        "capitals": lambda r: r.n_capitals / max(r.word_chars, 1), "shouts": lambda r: r.n_shouts / max(r.n_words, 1), "longest_run": lambda r: r.n_same_next / max(r.n_words, 1),
+    }
+    want = set()
+    for stratum, own in (("short", [r for r in rows if r.n_words < 100]), ("middle", [r for r in rows if 100 <= r.n_words < 1000]), ("long", [r for r in rows if r.n_words >= 1000])):
+        choose, test = [r for r in own if not r.tests], [r for r in own if r.tests and r.quality == 1]
+        n_good, best = sum(r.quality == 1 for r in choose), None
+        for step in qr.STEPS:
+            cut = {}
+            for rule, of in rate.items():
+                fits = [(sum(r.quality == 0 and of(r) > c for r in choose), c) for c in qr.CUTOFFS if sum(r.quality == 1 and of(r) > c for r in choose) <= step * n_good]
+                if fits and max(fits)[0]:
+                    cut[rule] = max(fits)[1]
+            wrong = sum(any(rate[k](r) > c for k, c in cut.items()) for r in test)
+            if not cut:
+                continue
+            if tail(len(test), wrong, 0.05) > 0.05 / 3:
+                break
+            best = cut
+        want |= {(stratum, k, c) for k, c in (best or {}).items()}
+    assert {tuple(r) for r in qr.fit_cutoffs(qr.measures(docs), labels).collect()} == want
+    assert {s for s, _, _ in want} >= {"short", "middle"}
+    for r in qr.judge(docs, labels).join(measured.select(F.col("doc_id").alias("id"), *(F.col(c).alias(f"m_{c}") for c in ("n_lines",))), F.col("doc_id") == F.col("id")).collect():
+        stratum = "short" if r.n_words < 100 else "middle" if r.n_words < 1000 else "long"
+        failed = {k for s, k, c in want if s == stratum and rate[k](r) > c}
+        assert set(r.failed) == failed
+        assert r.kept == (not r.base_failed and not failed)
+
+
+def test_cutoffs_are_proved_on_the_smallest_table_of_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    assert qr.fit_cutoffs(qr.measures(docs), labels).count() >= 1
+
+
+def test_words_that_shout(spark):
+    texts = ["hello there!", "hello there! ", "a! b!! c", "!", "no!t", "a!\u00a0b", ""]
+    got = {r.doc_id: r.n_shouts for r in qr.measures(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert got == {k: sum(w.endswith("!") for w in WORD.findall(t)) for k, t in enumerate(texts)}
+
+
 def test_too_few_holdouts_prove_nothing(spark):
-    docs, labels = labelled(spark, 200)
+    docs, labels = labelled(spark, 150)
     assert qr.fit_cutoffs(qr.measures(docs), labels).collect() == []
     assert all(r.kept for r in qr.judge(docs, labels).collect())
 

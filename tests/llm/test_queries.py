@@ -39,6 +39,18 @@ def test_columns_and_rows(spark, name):
     assert got.count() == spark.read.parquet(f"{SF}/{whole}.parquet").count()
 
 
+def test_scratch_is_shared_on_a_cluster(spark, monkeypatch):
+    from tidemark.errors import UsageError
+    from tidemark.sinks import scratch
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(UsageError, match="spark.checkpoint.dir"):
+        scratch.scratch(Elsewhere(), "x")
+
+
 @pytest.mark.parametrize("name", queries.ORACLE)
 def test_oracle(spark, db, name):
     got = queries.QUERIES[name](spark, SF)
@@ -75,19 +87,26 @@ def test_pipeline_stages(spark, tmp_path):
             benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
             assert ids == {r.doc_id for r in decontaminate.find_contamination(before, benchmark).where("not contaminated").collect()}
         if name == "mixing":
-            ratio = {r.doc_id: r.taken / max(1, r.size) for r in mixing.mix(before).collect()}
+            ratio = {r.doc_id: r.taken / r.size for r in mixing.mix(before).collect() if r.size}
             times = {r.doc_id: r["count"] for r in docs.groupBy("doc_id").count().collect()}
-            assert all(abs(times.get(d, 0) - x) < 1 for d, x in ratio.items())
+            assert all(abs(times.get(d, 0) - x) < 1.00001 for d, x in ratio.items())
         if name == "token_output":
             assert docs.count() == before.count()
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path):
-    docs = docs_of(spark, [(1, None), (2, ""), (3, "a few words"), (4, "A few words"), (5, "x " * 30_000), (None, "no id")])
-    for k, (_, stage) in enumerate(cp.STAGES):
+    rows = [(1, None), (2, ""), (3, "a few words"), (4, "A few words"), (5, "x " * 30_000), (None, "no id"), (None, None), (3, "a few words"), (6, "one text"), (6, "another text of it")]
+    docs = docs_of(spark, rows)
+    for k, (name, stage) in enumerate(cp.STAGES):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
-    assert {r.doc_id for r in docs.collect()} >= {5}
+        ids = [r.doc_id for r in docs.collect()]
+        if name in ("toxicity", "ngram_jaccard_join", "decontamination"):
+            assert ids.count(None) == 2, name
+            assert ids.count(6) == 2, name
+            assert ids.count(3) == 2, name
+            assert ids.count(4) == (1 if name == "toxicity" else 0), name
+    assert 5 in ids
     empty = docs_of(spark, [])
     for k, (_, stage) in enumerate(cp.STAGES):
         stage(spark, empty, SF).write.parquet(str(tmp_path / f"e{k}"))

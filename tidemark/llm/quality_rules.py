@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored
@@ -63,7 +63,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"), run)).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))).cast("long").alias("n_capitals"),
-        F.regexp_count("text", F.lit(r"![\x20\x09-\x0D]")).cast("long").alias("n_shouts"),
+        F.regexp_count("text", F.lit(r"!(?=[\x20\x09-\x0D]|\z)")).cast("long").alias("n_shouts"),
         (F.size(words) - F.size(F.array_compact(F.transform(words, lambda w, k: F.when(F.get(words, k - 1) == w, None).otherwise(True))))).cast("long").alias("n_same_next"),
     )
 
@@ -95,35 +95,52 @@ def _shares(measured: DataFrame, rules: dict[str, str]) -> DataFrame:
     return measured.withColumns({"stratum": stratum()} | {k: F.expr(f"cast({x} as double)") for k, x in rules.items()})
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, column: str = "quality", *, rules: dict[str, str] = RULES, cutoffs: Sequence[float] = CUTOFFS, rate: float = 0.05, delta: float = 0.05) -> DataFrame:
+#: How large a part of the good holdouts that choose each rule may reject, from the mildest set of cutoffs to the strictest.
+STEPS = (0.0, 0.0025, 0.005, 0.01, 0.02, 0.03)
+
+
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, column: str = "quality", *, rules: dict[str, str] = RULES, cutoffs: Sequence[float] = CUTOFFS, steps: Sequence[float] = STEPS, rate: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Rows (stratum, rule, cutoff): reject what is above. At most three strata times the number of rules.
 
     With probability 1 - delta, over all strata at once, the rules together reject at most `rate` of the good documents
-    of a stratum: each rule may reject rate / rules, and is tested in each stratum at delta / (strata * rules), which is
-    Bonferroni's correction. A test is the exact binomial one: had a cutoff a higher rate of false rejections, so few
-    among the n good holdouts would be as unlikely as the level. A rule's cutoffs are tested from the highest down until
-    one fails, a fixed sequence, which needs no further correction; as lower ones reject no fewer, what passes is what
-    such a sequence passes. Of these, the cutoff that rejects most bad holdouts is taken, of equal ones the highest; a
-    rule without any rejects nothing. Rows with a null label or id teach nothing; repeated labels of an id count once,
-    the greatest.
+    of a stratum. The labelled holdouts are halved by a hash of their ids. One half chooses: for each of the steps, a
+    cutoff for each rule that rejects at most that part of its good and most of its bad, of equal ones the highest. The
+    other half tests these sets of cutoffs as wholes, by what any rule of a set rejects: had a set a higher rate of
+    false rejections, so few among the n good of this half would be as unlikely as the level, by the exact binomial
+    tail. Strata are tested at delta / 3 each, which is Bonferroni's correction; the steps of a stratum from the mildest
+    on until one fails, a fixed sequence, which needs no further one. The last that passed is taken. So a stratum needs
+    80 good labels in the half that tests, with no false rejection among them; with fewer it has no rules.
+
+    Rows with a null label or id teach nothing; repeated labels of an id count once, the greatest; rows of one doc_id
+    each count.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    held = _shares(measured, rules).join(known, "doc_id")
+    held = stored(_shares(measured, rules).join(known, "doc_id").select("stratum", "y", (F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(2)) == 0).alias("tests"), *rules), "holdouts")
     # one row a stratum: counts of the good and the bad above each cutoff, in one pass without exploding the holdouts
     sums = [F.count_if((F.col("y") == y) & (F.col(k) > c)).alias(f"{k}_{j}_{y}") for k in rules for j, c in enumerate(cutoffs) for y in (0, 1)]
-    counted = held.groupBy("stratum").agg(F.count_if(F.col("y") == 1).alias("good"), *sums)
+    counted = held.where("not tests").groupBy("stratum").agg(F.count_if(F.col("y") == 1).alias("good"), *sums)
     cases = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{k}_{j}_1").alias("wrong"), F.col(f"{k}_{j}_0").alias("right")) for k in rules for j, c in enumerate(cutoffs)))
     flat = counted.select("stratum", "good", F.explode(cases).alias("c")).select("stratum", "good", "c.*")
-    level = delta / (3 * len(rules))
-    tested = flat.where((F.col("good") > 0) & (F.col("right") > 0) & (_binomial_tail(F.col("good"), F.col("wrong"), rate / len(rules)) <= level))
-    return tested.groupBy("stratum", "rule").agg(F.max(F.struct("right", "cutoff")).alias("best")).select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
+    some = flat.withColumn("step", F.explode(F.array(*(F.lit(x) for x in steps)))).where((F.col("right") > 0) & (F.col("wrong") <= F.col("step") * F.col("good")))
+    chosen = some.groupBy("stratum", "step", "rule").agg(F.max(F.struct("right", "cutoff")).alias("best")).select("stratum", "step", "rule", F.col("best.cutoff").alias("cutoff"))
+    chosen = stored(chosen, "chosen")
+    sets = chosen.groupBy("stratum", "step").agg(*(F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"cut_{k}") for k in rules))
+    rejects = F.coalesce(F.greatest(*(F.coalesce(F.col(k) > F.col(f"cut_{k}"), F.lit(False)) for k in rules)), F.lit(False))
+    tried = held.where("tests and y = 1").join(F.broadcast(sets), "stratum").groupBy("stratum", "step").agg(F.count("*").alias("good"), F.count_if(rejects).alias("wrong"))
+    tested = tried.withColumn("passes", _binomial_tail(F.col("good"), F.col("wrong"), rate) <= delta / 3)
+    # a row for each stratum and step; a step is reached if all milder ones pass
+    in_turn = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    taken = tested.withColumn("reached", F.min("passes").over(in_turn)).where("reached").groupBy("stratum").agg(F.max("step").alias("step"))
+    return chosen.join(F.broadcast(taken), ["stratum", "step"]).select("stratum", "rule", "cutoff")
 
 
 def judge(docs: DataFrame, labels: DataFrame, column: str = "quality", *, rules: dict[str, str] = RULES, **options) -> DataFrame:
     """Per row of docs: the measures, base_failed, failed (the rules that reject it), kept.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows. kept is false for these, else
-    true unless a rule's fitted cutoff is passed. Without labels no rule rejects anything. Empty tables give no rows.
+    true unless a rule's fitted cutoff is passed. Without labels no rule rejects anything. A null doc_id stays null and
+    has no label; rows with one doc_id, repeated or not, are each judged by their own text; other columns, whatever
+    their names, are left out; an empty table of documents gives no rows.
     """
     measured = stored(measures(docs), "measures")
     fitted = stored(fit_cutoffs(measured, labels, column, rules=rules, **options), "cutoffs")

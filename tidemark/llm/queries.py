@@ -77,6 +77,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the mix: each document's size, and its source's size and target."""
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the quality rules: the measures and the base rules."""
+    return op10_quality_rules(spark, sf_dir).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -88,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
+    "mixing_targets": mixing_targets,
+    "quality_base": quality_base,
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -124,4 +136,17 @@ ORACLE: dict[str, str] = {
  t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
  FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    # sources rise until they are full, those with the least size for their weight first; the level is where the sum is met
+    "mixing_targets": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, (ARRAY[3.0, 1.0, 2.0])[1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS w FROM d GROUP BY source),
+ f AS (SELECT *, coalesce(sum(2 * n) OVER below, 0) AS filled, sum(w) OVER above AS free, 1.5 * sum(n) OVER () AS goal FROM s WHERE n > 0
+  WINDOW below AS (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), above AS (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ l AS (SELECT arg_min((goal - filled) / free, n / w) FILTER ((goal - filled) / free < 2 * n / w) AS level FROM f)
+ SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(least(2 * n, coalesce(level * w, 2 * n)), 3) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l""",
+    "quality_base": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ x AS (SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8)),
+ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM x WHERE (doc_id, s) IN (SELECT doc_id, s FROM x GROUP BY ALL HAVING count(*) > 1)) GROUP BY doc_id),
+ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(n, 0) > 30 * n_words AS base_failed FROM m LEFT JOIN r USING (doc_id)""",
 }
