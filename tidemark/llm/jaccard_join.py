@@ -379,7 +379,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, sa
     classes = stored(named.groupBy(*key).agg(F.min("node").alias("class_node"), F.min("doc_id").alias("class_id")), "classes")
     # one document stands for its class: found by its own id, so that a class of very many copies is no group
     own = named.select(F.col("node").alias("doc_id"), "n", "prefix", "bits").join(classes.select(F.col("class_node").alias("doc_id")), "doc_id", "left_semi")
-    own = stored(own, "own")
+    own = stored(own.dropDuplicates(["doc_id"]), "own")  # on the join's partitions and order
     tiles = stored(tiles_of(own, percent, frequent), "tiles")
     groups = groups_of(tiles, percent)
     near = stored(group_links(groups, nodes, width, percent), "near")
