@@ -12,13 +12,26 @@ from tidemark.llm.queries import op1_quality, op2_language_id, op3_toxicity
 SF = "/root/testdata/sf0.1"
 
 
-@pytest.mark.parametrize("query,column,least", [(op1_quality, "quality", 0.97), (op3_toxicity, "toxic", 0.85)])
-def test_held_out_labels(spark, query, column, least):
+@pytest.fixture(scope="module")
+def judged(spark):
+    """Rows of op1 and op3 on held-out labels of sf0.1, with language and label."""
+    found = {}
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "lang")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for query, column in ((op1_quality, "quality"), (op3_toxicity, "toxic")):
+        scored = query(spark, SF)
+        assert scored.columns == ["doc_id", "held_out", "score", "predicted"]
+        scored = scored.cache()
+        assert scored.count() == documents.count()
+        found[column] = scored.where("held_out").join(labels, "doc_id").join(documents, F.col("doc_id") == F.col("id")).collect()
+        scored.unpersist()
+    return found
+
+
+@pytest.mark.parametrize("column,least", [("quality", 0.97), ("toxic", 0.88)])
+def test_held_out_labels(judged, column, least):
     """Some of the toxic labels stand on texts without a telling word (those of languages aside, one in fifteen)."""
-    found = query(spark, SF)
-    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
-    assert found.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
-    rows = found.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
+    rows = judged[column]
     assert len(rows) > 300
     for y in (0, 1):
         own = [r for r in rows if r[column] == y]
@@ -26,6 +39,13 @@ def test_held_out_labels(spark, query, column, least):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_held_out_toxic_labels_of_each_language(judged):
+    rows = [r for r in judged["toxic"] if r.toxic == 1 and r.lang is not None]
+    assert {r.lang for r in rows} == {"de", "en", "es", "fr"}
+    for lang in {r.lang for r in rows}:
+        assert np.mean([r.predicted == 1 for r in rows if r.lang == lang]) >= 0.85, lang
+
+
 def test_held_out_languages(spark):
     found = op2_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = found.where("held_out and lang is not null").collect()
@@ -117,14 +137,6 @@ def test_telling_words_do_not_crowd_out_others(spark, words):
         assert np.mean([(r.score >= 0.5) == new[r.doc_id][2] for r in got if new[r.doc_id][0] == kind]) >= (0.7 if kind == "rare" else 0.9), kind  # 12 documents teach the rare word
 
 
-def test_held_out_toxic_labels_of_each_language(spark):
-    found = op3_toxicity(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1"), "doc_id")
-    rows = found.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
-    assert {r.lang for r in rows} == {"de", "en", "es", "fr"}
-    for lang in {r.lang for r in rows}:
-        assert np.mean([r.predicted == 1 for r in rows if r.lang == lang]) >= 0.85, lang
-
-
 def bags_of(rng, sizes):
     """Random bags of so many passages, one of the passages without words."""
     out = []
@@ -274,6 +286,22 @@ def test_long_texts_are_learned_from_whole(spark, words):
     assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in quality.score(docs_of(spark, docs[40:]), model).collect())
 
 
+def test_toxic_rows_go_and_others_stay_whole(spark, words):
+    rng = random.Random(2)
+    docs = docs_of(spark, [(k, " ".join(rng.choice(words) for _ in range(40)) + " awful" * (k % 2)) for k in range(100)] + [(None, "x awful"), (None, None), (3, "mild words"), (200, "")])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100) if k != 3], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    out = toxicity.drop_toxic(docs, machine)
+    assert out.schema == docs.schema
+    scores = {(r.doc_id, r.score) for r in toxicity.score(docs, machine).collect()}
+    assert out.count() == sum(r.score < 0.5 for r in toxicity.score(docs, machine).collect())
+    assert len(scores) > 50
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert (3, "mild words") in kept
+    assert (None, None) in kept
+    assert all("awful" not in (t or "") for _, t in kept)
+
+
 def test_folds(spark):
     import zlib
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from conftest_llm import docs_of
 
-from tidemark.llm.decontaminate import find_contamination
+from tidemark.llm.decontaminate import drop_contaminated, find_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -63,6 +63,18 @@ def test_matches_brute_force(spark, words, batch_bytes):
         assert sum(len(x[0].encode()) for x in split(inside)) == n_bytes
 
 
+@pytest.mark.parametrize("batch_bytes", [64 << 20, 60])
+def test_rows_without_hits_stay_whole(spark, batch_bytes):
+    items = spark.createDataFrame([(1, "one two three four"), (2, "alpha beta"), (3, None)], "item_id long, text string")
+    docs = [(1, "x One, two-three FOUR y"), (1, "clean"), (2, "alpha. Beta"), (3, None), (None, "clean too"), (None, "alpha beta"), (4, "alphabeta"), (5, ""), (1, "clean")]
+    docs = docs_of(spark, docs)
+    out = drop_contaminated(docs, items, batch_bytes=batch_bytes)
+    assert out.schema == docs.schema
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted((tuple(r) for r in docs.collect() if r.text in (None, "", "clean", "clean too", "alphabeta")), key=str)
+    plan = drop_contaminated(docs.repartition(3), items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the one asked for
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(docs_of(spark, []), items).collect() == []

@@ -120,6 +120,11 @@ def test_verdicts_match_brute_force(spark):
     assert sum(got.values()) > 100
 
 
+@pytest.fixture(scope="module")
+def extracted(spark):
+    return {r.page_id: r for r in extract(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()}
+
+
 def unmarked(page):
     """The page without any tag or class that says what is article, menu, footer or advert."""
     for old, new in (("<article>", "<div class='c'>"), ("</article>", "</div>"), ("<nav>", "<div class='n'>"), ("</nav>", "</div>"), ("<footer>", "<div class='f'>"), ("</footer>", "</div>"), ("class=\"ad\"", "class='x'")):
@@ -127,10 +132,10 @@ def unmarked(page):
     return page
 
 
-def test_counts_alone_find_the_article(spark):
+def test_counts_alone_find_the_article(spark, extracted):
     """No tag helps here: each host's recurring slots go, and with counting off the boilerplate stays."""
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
-    want = {r.page_id: r.text for r in extract(pages_of(spark, rows)).collect()}
+    want = {k: r.text for k, r in extracted.items()}
     bare = pages_of(spark, [(k, u, unmarked(x)) for k, u, x in rows])
     got = {r.page_id: r for r in extract(bare).collect()}
     assert sum(got[k].text == want[k] for k in want) >= 0.97 * len(want)
@@ -139,8 +144,8 @@ def test_counts_alone_find_the_article(spark):
     assert not any(off[k] == want[k] for k in want)
 
 
-def test_most_elements_go_by_counts_where_there_are_enough_pages(spark):
-    got = extract(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+def test_most_elements_go_by_counts_where_there_are_enough_pages(extracted):
+    got = list(extracted.values())
     template, marked = sum(r.n_template for r in got), sum(r.n_marked for r in got)
     assert template > 0.6 * (template + marked - len(got))  # a page's head goes by its tag always
 

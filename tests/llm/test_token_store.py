@@ -44,6 +44,21 @@ def test_encoder_equals_the_library(tokenizer):
         assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_falls_back_to_single_words(tokenizer):
+    """Where line feeds between words can't be found among the ids, each word is encoded by itself."""
+    encode = ts.Encoder(tokenizer_path())
+    encode.newline = b"\xff\xff\xff\x7f"
+    text = "some words that it has not met before"
+    assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_dictionary_is_the_same_on_any_partitions(spark):
+    docs = docs_of(spark, [(k, f"text {k} " * (1 + k % 50)) for k in range(3000)]).select("doc_id", "text")
+    made = {ts.train_dictionary(d, tokenizer_path(), 2, 4096, 500) for d in (docs, docs.repartition(7, "text"))}
+    assert len(made) == 1
+    assert len(made.pop()) > 0
+
+
 def test_single_documents(spark, tokenizer):
     rows = [(k, f"document {k} of some words") for k in range(2000)]
     path = scratch(spark, "test")
