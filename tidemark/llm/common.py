@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -41,6 +43,24 @@ def unit_hash(seed: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 48)) / F.lit(float(1 << 48))
 
 
+def text_batches(docs: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """docs; from now on the session sends rows to Python in batches of `most` bytes, or fewer if that was set, as texts may be long."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key, "64m")).lower()
+    if not re.fullmatch(r"[0-9]+b?", now) or int(now.rstrip("b")) > most:
+        conf.set(key, str(most))
+    return docs
+
+
+def give_back() -> None:
+    """Free memory of this worker process goes back to the machine: processes wait between tasks, and others need it then."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with this C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut batches so that a piece holds few rows and, unless one text alone is longer, few MB; null texts become empty."""
     for batch in batches:
@@ -53,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             part = batch.slice(at, n)
             yield part, [x or b"" for x in part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
             at += n
+    give_back()
 
 
 _held: list[Any] = [None, None]
@@ -167,4 +188,4 @@ def kept_rows(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> Dat
         for piece, texts in slices(batches):
             yield piece.filter(pa.array(np.asarray(keep(texts), dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

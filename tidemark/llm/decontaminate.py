@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, kept_rows, slices, stored
+from .common import kept, kept_rows, slices, stored, text_batches
 
 #: Lower-cases A-Z; every ASCII byte that is neither letter nor digit becomes a space; the rest stays, byte for byte.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -70,7 +70,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10
     """
     items = _items(benchmark)
     passes = _passes(items, width, batch_bytes)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if passes == 1:
         return docs.mapInArrow(_scanner(_texts(items), width), FOUND)
     docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")

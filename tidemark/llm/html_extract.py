@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, stored, text_batches
 
 EXTRACTED = "page_id long, url string, text string, n_chars long, n_template long, n_marked long"
 HASHES = "host string, slot long, hash long, around long"
@@ -297,7 +297,7 @@ def extract(pages: DataFrame, *, template: float = 0.3, own: float = 0.06, sure:
     one page_id are each extracted; other columns are left out. A host with most of the pages is only counted, never
     gathered: its counts are spread by slot and hash.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages = text_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

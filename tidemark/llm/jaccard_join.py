@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, shingle_sets, slices, stored, unit_hash
+from .common import U64, mixed, shingle_sets, slices, stored, text_batches, unit_hash
 from .components import connected_components
 
 SETS = "doc_id long, node long, n long, h1 long, h2 long, bits binary, prefix binary"
@@ -368,7 +368,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, sa
     Other columns are left out. Which members are frequent is seen in a sample of sample_share of the rows or about
     sample_rows, whichever is less; it moves work between tasks and never a link.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     share = min(sample_share, sample_rows / max(1, docs.count()))
     told, apart = _told_apart(docs)
     nodes = told.select(F.col("node").alias("doc_id"), "text")

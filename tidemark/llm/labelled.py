@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, unit_hash
+from .common import stored, text_batches, unit_hash
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, seed: int = 11) -> DataFrame:
@@ -18,5 +18,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     share = {r.y: min(1.0, per_class / r.n) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = known.where(unit_hash(seed, F.col("doc_id")) < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
     chosen = chosen.orderBy(unit_hash(seed, F.col("doc_id")), "doc_id").limit(4 * per_class)  # the same ones in each run
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return stored(texts.join(F.broadcast(chosen), "doc_id"), "labelled")

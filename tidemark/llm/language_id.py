@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, unit_hash
+from .common import slices, stored, text_batches, unit_hash
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -154,4 +154,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)

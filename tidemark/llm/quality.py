@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, kept, slices
+from .common import kept, slices, text_batches, WordHashes
 from .labelled import labelled_sample
 
 SCORED = "doc_id long, score double, most_weight double"
@@ -203,4 +203,4 @@ def score(docs: DataFrame, model: AttentionPool, words_each: int = 48) -> DataFr
             f = model.forward([passages(x, words_each) for x in texts])
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(f["p"], pa.float64()), pa.array(np.maximum.reduceat(f["a"], f["first"]), pa.float64())], ["doc_id", "score", "most_weight"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)

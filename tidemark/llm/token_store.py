@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, scratch, slices, unit_hash
+from .common import kept, scratch, slices, text_batches, unit_hash
 
 MAGIC = b"TMK1"
 SHARDS = "part int, seq long, first_doc long, last_doc long, n_docs long, start_in_part long, n_tokens long, image binary"
@@ -231,7 +231,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     raw = train_dictionary(docs, tokenizer_path, width, dict_bytes, dict_docs)
     sha, end = hashlib.sha256(raw).digest(), struct.pack("<I", end_id)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, kept, kept_rows, slices
+from .common import U64, kept, kept_rows, slices, text_batches, WordHashes
 from .decontaminate import words
 from .labelled import labelled_sample
 
@@ -163,7 +163,7 @@ def score(docs: DataFrame, machine: Machine, bits: int = 22) -> DataFrame:
         for piece, texts in slices(batches):
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([machine.score(terms(x, bits)) for x in texts], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, cut: float = 0.5, bits: int = 22) -> DataFrame:
