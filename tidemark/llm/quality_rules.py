@@ -49,21 +49,23 @@ def measures(docs: DataFrame) -> DataFrame:
     that end in `!`), n_same_next (words equal to the one before). A null text has no words; all its counts are 0.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
-    base = base.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
+    # each word is hashed once; all that is counted over words is counted over numbers
+    words = F.transform(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), lambda w: F.xxhash64(w))
+    base = base.withColumn("words", words).withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     words, run = F.col("words"), 8
     windows = F.transform(F.sequence(F.lit(1), F.size(words) - run + 1), lambda k: F.xxhash64(F.slice(words, k, run)))
     base = base.withColumn("windows", F.when(F.size(words) >= run, windows).otherwise(F.array().cast("array<bigint>")))
+    met = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
     return base.select(
         "doc_id",
         F.size(words).cast("long").alias("n_words"),
-        (F.length("text") - F.length(F.regexp_replace("text", WORD, ""))).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - met(r"[\x20\x09-\x0D]")).alias("word_chars"),
+        met("[#*$%&|<>]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"), run)).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))).cast("long").alias("n_capitals"),
-        F.regexp_count("text", F.lit(r"!(?=[\x20\x09-\x0D]|\z)")).cast("long").alias("n_shouts"),
+        met("[A-Z]").alias("n_capitals"),
+        met(r"!(?=[\x20\x09-\x0D]|\z)").alias("n_shouts"),
         (F.size(words) - F.size(F.array_compact(F.transform(words, lambda w, k: F.when(F.get(words, k - 1) == w, None).otherwise(True))))).cast("long").alias("n_same_next"),
     )
 
