@@ -74,7 +74,7 @@ class Encoder:
     any other kind of tokenizer all texts do.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
