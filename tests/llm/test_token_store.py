@@ -52,6 +52,39 @@ def test_encoder_falls_back_to_single_words(tokenizer):
     assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_equals_the_library_on_odd_characters(tokenizer):
+    """Where letters, apostrophes, digits, signs, line feeds and an added token meet, and units are forgotten and met again."""
+    rng = random.Random(6)
+    parts = ["it", "Word", "é", "ß", "ł", "漢", "я", "'s", "'", "’", "'ll", "7", "½", "²", "ª", "\u0301", "—", "€", "_", ",", "...", " ", " ", " ", "\n", "\n\n", "<|endoftext|>", "<", "\t", "\x0b", "\x1f", "Ġ", "Ċ", "\u2028", "\xad"]
+    for room in (12, 400_000):
+        encode = ts.Encoder(tokenizer_path(), room=room)
+        for _ in range(6000):
+            text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 16)))
+            assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_encoder_gives_the_library_each_run_of_letters_once(tokenizer):
+    """Words that differ in what stands behind them share their letters, also where they first meet in one text."""
+    encode = ts.Encoder(tokenizer_path())
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **how)
+
+        def encode(self, text, **how):
+            given.append(text)
+            return tokenizer.encode(text, **how)
+
+    encode.tokenizer = Counted()
+    stems = [f"{x}{y}{z}ing" for x in "abcde" for y in "fghij" for z in "klmno"]
+    text = " ".join(stem + end for end in ("", ",", ".", "!!", ".###", ",%%%", ".\nThe") for stem in stems)
+    assert encode(text) == encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert sum(map(len, given)) < 1.1 * sum(len(x) + 1 for x in stems)
+    assert len(encode.known) + len(encode.fresh) < 1.1 * len(stems)
+
+
 def test_dictionary_is_the_same_on_any_partitions(spark):
     docs = docs_of(spark, [(k, f"text {k} " * (1 + k % 50)) for k in range(3000)]).select("doc_id", "text")
     made = {ts.train_dictionary(d, tokenizer_path(), 2, 4096, 500) for d in (docs, docs.repartition(7, "text"))}

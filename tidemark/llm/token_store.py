@@ -38,40 +38,35 @@ _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u202
 
 
 def single_spaced(text: str) -> bool:
-    """Whether each space stands between two characters other than white space."""
-    return not (text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or _RARE.search(text))
+    """Whether each space stands between two characters other than space and line feed."""
+    return not (text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text)
 
 
-#: Ends of words that are pieces of their own after a letter.
-_TAIL = ".,;:!?"
+#: Letters, in a pattern's brackets; those beyond ASCII and these blocks are odd.
+_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: What is neither letter nor odd, in a pattern's brackets: ASCII but for the apostrophe and rare white space, Latin-1's signs, punctuation, currencies.
+_PLAIN = "\x00-\x08\n\x0e-\x1b -&(-\x7f\xa1-\xbf\xd7\xf7\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
 
 
-def atoms(word: str) -> list[str] | None:
-    """What a word, as it stands after a space, is put together from: its lines, and their ends after a Latin letter.
+def patterns(added: list[str]) -> tuple[re.Pattern, re.Pattern]:
+    """Of odd characters, and of the units of a single-spaced text without anything odd.
 
-    `\\n` before an atom says that it follows a line feed, `\\r` that it follows a letter. None where lines are empty,
-    since line feeds in a row are no pieces of their own.
+    A unit is a run of letters or of no letters, with the space before it; a byte-level pre-tokenizer always cuts there,
+    whatever stands around. What is odd could make it cut otherwise: an apostrophe, which takes letters into its piece;
+    letters of other scripts; where an added token may begin; line feeds in a row, which are pieces by what follows.
     """
-    out: list[str] = []
-    for k, line in enumerate(word.split("\n")):
-        if not line:
-            return None
-        stem = line.rstrip(_TAIL)
-        cut = stem and stem[-1].isalpha() and stem[-1] < "\u0250"
-        out.append(("\n" if k else "") + (stem if cut else line))
-        if cut and len(stem) < len(line):
-            out.append("\r" + line[len(stem) :])
-    return out
+    fine = "".join(re.escape(chr(c)) for c in range(0x20C0) if re.match(f"[{_LATIN}{_PLAIN}]", chr(c)) and chr(c) not in {x[0] for x in added})
+    return re.compile(f"[^{fine}]"), re.compile(f" ?[{_LATIN}]+| ?[^{_LATIN} ]+")
 
 
 class Encoder:
     """Ids of whole texts by a tokenizers file, without special tokens added, as little-endian u32 bytes.
 
-    A byte-level pre-tokenizer starts a new piece at each single space between two other characters, so what stands
-    between such spaces is encoded once and remembered: in two generations of half the room each, so that frequent
-    words stay when rare ones go. Unseen words are put together from remembered atoms, and unseen atoms are encoded
-    many at a time, a line feed between. A text with any other kind of space goes to the library as a whole, and with
-    any other kind of tokenizer all texts do.
+    A byte-level pre-tokenizer cuts a text at known places (see `patterns`), so what stands between them is encoded once
+    and remembered while there is room: a unit is fresh when first met and known from the second time, and fresh ones go
+    first, so that frequent units stay; where known ones alone fill three quarters, they have to be met again. Unseen
+    units are encoded many at a time, found again by the ids that begin with a space, or are a line feed put before them. A
+    text with any other kind of space goes to the library as a whole, and with any other kind of tokenizer all texts do.
     """
 
     def __init__(self, path: str, room: int = 400_000):
@@ -80,15 +75,20 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known, self.older = Tokenizer.from_file(path), room, {}, {}
+        self.tokenizer, self.room, self.known, self.fresh = Tokenizer.from_file(path), room, {}, {}
         made = json.loads(self.tokenizer.to_str())
         cut = made["pre_tokenizer"] or {}
-        self.by_word = (
+        self.by_unit = (
             cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not made["normalizer"] and not made["truncation"] and not made["padding"]
-            and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or set(x["content"]) & {" ", "\n", *_TAIL} for x in made["added_tokens"])
+            and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or set(x["content"]) & {" ", "\n"} for x in made["added_tokens"])
         )
+        self.odd, self.units = patterns([x["content"] for x in made["added_tokens"]])
         self.newline = self.one("\n")
-        self.by_word = self.by_word and len(self.newline) == 4
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.by_unit = self.by_unit and made["model"]["type"] == "BPE" and self.newline == struct.pack("=I", vocab.get("\u010a", -1 % 2**32))  # as byte-level pieces have a line feed
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1 + max(vocab.values(), default=0), bool)
+        self.spaced[[k for x, k in vocab.items() if x[:1] == "\u0120"]] = True  # and a space
+        self.spaced[[x["id"] for x in made["added_tokens"]]] = False
 
     def one(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -96,64 +96,62 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_word or not single_spaced(text):
+        odd = self.odd.search(text) or "\n\n" in text
+        if not self.by_unit or not single_spaced(text) or (odd and _RARE.search(text)):
             return self.one(text)
-        first, *rest = text.split(" ")
-        found = list(map(self.known.get, rest))
-        if None in found:
-            missing = [k for k, x in enumerate(found) if x is None]
-            self._learn({rest[k] for k in missing})
+        units = self._cut(text) if odd else self.units.findall(text)
+        found = list(map(self.known.get, units))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
+            learnt = self._learn({units[k] for k in missing})
             for k in missing:
-                found[k] = self.known[rest[k]]
-        return self.one(first) + b"".join(found)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > self.room // 2:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        made, unseen = {}, set()
-        for word in words:
-            if word in older:
-                known[word] = older[word]
-                continue
-            if word.isalpha():
-                unseen.add(word)
-                continue
-            parts = atoms(word)
-            if parts is None:
-                known[word] = self.one(f" {word}")
-                continue
-            if len(parts) > 1:
-                made[word] = parts
-            for x in parts:
-                if x not in known:
-                    if x in older:
-                        known[x] = older[x]
-                    else:
-                        unseen.add(x)
-        self._encode([x for x in unseen if x[0] not in "\n\r"], "\n ", " ", b"")
-        self._encode([x[1:] for x in unseen if x[0] == "\n"], "\n", "", self.newline, "\n")
-        for x in unseen:
-            if x[0] == "\r":
-                known[x] = self.one(x[1:])
-        for word, parts in made.items():
-            known[word] = b"".join([known[x] for x in parts])
-
-    def _encode(self, some: list[str], between: str, before: str, lead: bytes, mark: str = "", at_once: int = 4096) -> None:
-        """Remember atoms, encoded with line feeds between, which are pieces of their own there."""
-        for k in range(0, len(some), at_once):
-            part = some[k : k + at_once]
-            (got,) = self.tokenizer.encode_batch_fast([before + between.join(part)], add_special_tokens=False)  # without offsets
-            ids = array("I", got.ids).tobytes()
-            cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.newline, "<u4")[0])
-            if len(cuts) != len(part) - 1:  # a line feed is no piece of its own somewhere among these
-                self.known.update((mark + word, lead + self.one(before + word)) for word in part)
-                continue
-            ends = [*(4 * cuts).tolist(), len(ids)]
-            start = 0
-            for word, end in zip(part, ends, strict=True):
-                self.known[mark + word] = lead + ids[start:end]
-                start = end + 4
+                found[k] = learnt[units[k]]
+        return b"".join(found)
+
+    def _cut(self, text: str) -> list[str]:
+        """Units of a text with something odd: what stands between two spaces is one where anything in it is odd."""
+        out: list[str] = []
+        for k, word in enumerate(text.split(" ")):
+            word = f" {word}" if k else word
+            if self.odd.search(word) or "\n\n" in word:
+                out.append(word)
+            else:
+                out += self.units.findall(word)
+        return out
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units that are not known, from now on remembered."""
+        if len(self.known) + len(self.fresh) > self.room:
+            self.fresh, self.known = (self.known, {}) if len(self.known) > self.room * 3 // 4 else ({}, self.known)
+        again, first, some = {}, {}, []
+        for x in units:
+            ids = self.fresh.pop(x, None)
+            if ids is not None:
+                again[x] = ids
+            elif "\n" in x:
+                first[x] = self.one(x)
+            else:
+                some.append(x if x[0] == " " else f"\n{x}")
+        for k in range(0, len(some), 4096):
+            self._encode(some[k : k + 4096], first)
+        self.known.update(again)
+        self.fresh.update(first)
+        return again | first
+
+    def _encode(self, some: list[str], out: dict[str, bytes]) -> None:
+        """Ids of units, encoded one after another: ids that begin with a space, or are a line feed, begin each."""
+        (got,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)  # without offsets
+        raw = array("I", got.ids).tobytes()
+        ids = np.frombuffer(raw, "<u4")
+        begins = (4 * np.flatnonzero(self.spaced[ids] | (ids == np.frombuffer(self.newline, "<u4")))).tolist()
+        if len(begins) != len(some):  # a space or a line feed begins no id of its own somewhere among these
+            out.update((x, self.one(x)) for x in (x.removeprefix("\n") for x in some))
+            return
+        for x, start, end in zip(some, begins, [*begins[1:], len(raw)], strict=True):
+            if x[0] == " ":
+                out[x] = raw[start:end]
+            else:
+                out[x[1:]] = raw[start + 4 : end]
 
 
 def encoder(path: str) -> Encoder:
